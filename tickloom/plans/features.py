@@ -11,7 +11,7 @@ from tickloom.functions.temporal import cyclical_time, with_session_features
 from tickloom.operators.asof import asof_rows, event_flag
 from tickloom.operators.indicators import atr_normalized, sweep
 from tickloom.operators.series import WEEK
-from tickloom.operators.store import sanitize, widen
+from tickloom.operators.store import widen
 
 ROLES = ("15m", "1h", "4h", "1d")
 
@@ -76,13 +76,17 @@ def feature_table(
     horizons = F.explode(F.array(*[F.lit(h) for h in windows]))
     spots = bars.filter(is_base).select("token", horizons.alias("horizon"), F.unix_micros("ts").alias("_at"))
     wide = asof_rows(rows, spots, higher, ["token", "horizon"], chunk=chunk_seconds * 1_000_000)
-    wide = wide.select("horizon", "token", "ts", "rsi_15m", *[f"{c}_15m" for c in trend], *[f"{r}.*" for r in higher])
+    # unusable numbers go before the (never missing) time features are added
+    numbers = ["rsi_15m", *[f"{c}_{r}" for r in ("15m", *higher) for c in trend]]
+    flat = wide.select("horizon", "token", "ts", "rsi_15m", *[f"{c}_15m" for c in trend], *[f"{r}.*" for r in higher])
+    clean = flat.select("horizon", "token", "ts", *[F.expr(f"CASE WHEN abs({c}) < double('Infinity') THEN {c} END AS {c}") for c in numbers])
+    if how is not None:
+        clean = clean.dropna(how=how, subset=numbers)
 
-    wide = with_session_features(wide.withColumns(cyclical_time("ts")), "ts", bar_minutes)
+    made = with_session_features(clean.withColumns(cyclical_time("ts")), "ts", bar_minutes)
     if events is not None:
-        wide = event_flag(wide, events, event_tolerance, config.EVENT_FLAG)
-    wide = widen(wide)
-    return wide if how is None else sanitize(wide, how=how)
+        made = event_flag(made, events, event_tolerance, config.EVENT_FLAG)
+    return widen(made).select("horizon", "token", "ts", *config.FEATURES, config.EVENT_FLAG)
 
 
 def latest_features(features: DataFrame, keys: Sequence[str] = ("horizon", "token")) -> DataFrame:
