@@ -81,7 +81,7 @@ def select_trades(candidates: DataFrame, keys: Sequence[str] = ("token",)) -> Da
     chain = spots.groupBy(*keys).agg(F.min("i").alias("i"))
     while not jumps.isEmpty():
         chain = checkpoint(chain.unionByName(chain.join(jumps, [*keys, "i"]).select(*keys, F.col("n").alias("i"))))
-        onward = jumps.withColumnsRenamed({"i": "n", "n": "n2"})
+        onward = jumps.select(*keys, F.col("i").alias("n"), F.col("n").alias("n2"))
         jumps = checkpoint(jumps.join(onward, [*keys, "n"]).select(*keys, "i", F.col("n2").alias("n")))
     return candidates.join(chain.withColumnRenamed("i", "signal_pos"), [*keys, "signal_pos"], "left_semi")
 
