@@ -74,6 +74,8 @@ def select_trades(candidates: DataFrame, keys: Sequence[str] = ("token",)) -> Da
     collected by pointer doubling: after k rounds 2^k links of every key are known.
     """
     keys = list(keys)
+    # compact rows that every round and the result read again
+    candidates = checkpoint(candidates)
     spots = candidates.select(*keys, F.col("signal_pos").alias("i"))
     after = candidates.filter(F.col("exit_pos").isNotNull()).select(*keys, F.col("signal_pos").alias("i"), (F.col("exit_pos") + 1).alias("at"))
     linked = asof_join(after, {"nx": spots.select(*keys, F.col("i").alias("at"), "i")}, keys, on="at", direction="forward", chunk=4096)
