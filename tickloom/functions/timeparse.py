@@ -54,10 +54,20 @@ def ensure_ts(df: DataFrame, name: str = "ts", candidates: Sequence[str] = tuple
 def epoch_unit(df: DataFrame, column: str) -> DataFrame:
     """One row: is the column in seconds or milliseconds, judged by its median magnitude?
 
-    The median is taken over counts per distinct value, so it needs no full sort.
+    Where the median lies follows from counts; only if exactly half of the values are large
+    do the two middle values (largest small, smallest large one) decide. No sort is needed.
     """
-    median = df.agg(F.percentile(F.abs(F.col(column)), F.lit(0.5)).alias("median"))
-    return median.withColumn("unit", F.when(F.col("median") >= MILLIS_FROM, "ms").otherwise("s"))
+    size = F.abs(F.col(column))
+    big = size >= MILLIS_FROM
+    facts = df.agg(
+        F.count(size).alias("values"),
+        F.sum(big.cast("long")).alias("_big"),
+        F.max(F.when(~big, size)).alias("_below"),
+        F.min(F.when(big, size)).alias("_above"),
+    )
+    twice = F.col("_big") * 2
+    millis = (twice > F.col("values")) | ((twice == F.col("values")) & (F.col("_below") + F.col("_above") >= 2 * MILLIS_FROM))
+    return facts.select("values", F.when(millis, "ms").otherwise("s").alias("unit"))
 
 
 def to_ts_by_unit(df: DataFrame, column: str, name: str = "ts") -> DataFrame:

@@ -11,7 +11,7 @@ from tickloom.operators import series
 from tickloom.operators.asof import asof_join
 from tickloom.operators.bars import drop_incomplete
 from tickloom.operators.first_hit import first_hit
-from tickloom.operators.series import POS, WEEK
+from tickloom.operators.series import POS
 from tickloom.session import checkpoint
 
 
@@ -94,7 +94,7 @@ def max_drawdown(
     keys: Sequence[str] = ("token",),
     order: str = "exit_ts",
     tie: Sequence[str] = (),
-    chunk_seconds: int = WEEK,
+    chunk_seconds: int = 3600,
 ) -> DataFrame:
     """Largest fall of the running sum below its running maximum (at most 0).
 

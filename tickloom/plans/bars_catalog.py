@@ -292,7 +292,7 @@ def asof_backward(spark, sf):
 def asof_nearest(spark, sf):
     high = V.econ_events(spark, sf).filter(asof.is_high_impact("impact")).select("ts", F.col("ts").alias("event_ts"))
     joined = asof.asof_join(
-        V.bars_1h(spark, sf).select("token", "ts"), {"e": high}, keys=(), direction="nearest", tolerance=12 * 3600 * 1_000_000, spread=4
+        V.bars_1h(spark, sf).select("token", "ts"), {"e": high}, keys=(), direction="nearest", tolerance=12 * 3600 * 1_000_000, chunk=86400 * 1_000_000, spread=4
     )
     return out(joined.select("token", "ts", F.col("e.event_ts")))
 

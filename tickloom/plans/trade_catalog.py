@@ -186,13 +186,13 @@ def ensure_ts(spark, sf):
 
 
 @query(
-    """SELECT 'millis' AS source, median(abs((epoch_us(ts) // 1000)::DOUBLE)) AS median, 'ms' AS unit FROM events
-    UNION ALL SELECT 'seconds', median(abs((epoch_us(ts) // 1000000)::DOUBLE)), 's' FROM events"""
+    """SELECT 'millis' AS source, count(*) AS "values", CASE WHEN median(abs((epoch_us(ts) // 1000)::DOUBLE)) >= 1e12 THEN 'ms' ELSE 's' END AS unit FROM events
+    UNION ALL SELECT 'seconds', count(*), CASE WHEN median(abs((epoch_us(ts) // 1000000)::DOUBLE)) >= 1e12 THEN 'ms' ELSE 's' END FROM events"""
 )
 def epoch_unit(spark, sf):
     e = _events(spark, sf)
-    ms = TP.epoch_unit(e.select(F.unix_millis("ts").alias("t")), "t").select(F.lit("millis").alias("source"), "median", "unit")
-    s = TP.epoch_unit(e.select(F.unix_seconds("ts").alias("t")), "t").select(F.lit("seconds").alias("source"), "median", "unit")
+    ms = TP.epoch_unit(e.select(F.unix_millis("ts").alias("t")), "t").select(F.lit("millis").alias("source"), "values", "unit")
+    s = TP.epoch_unit(e.select(F.unix_seconds("ts").alias("t")), "t").select(F.lit("seconds").alias("source"), "values", "unit")
     return ms.unionByName(s)
 
 
