@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tickloom.operators.series import WEEK
 
@@ -72,67 +72,42 @@ def asof_rows(
     ``rows`` holds (parts, _at, _side, _left, _r_name...): side 1 rows carry ``_left``, side 0
     rows carry one right struct. ``spots`` lists (parts, _at) of the side 1 rows.
     """
-    slot = F.floor(F.col("_at") / F.lit(chunk)).alias("_chunk")
-    spots = spots.select(*parts, slot).distinct()
+    slot = f"floor(_at / {chunk}) AS _chunk"
+    by = ", ".join(parts)
+    base = ["_at", "_side", "_left"]
+    spots = spots.selectExpr(*parts, slot).distinct()
     # a match travels with its axis value, to measure distances
-    rows = rows.withColumns(
-        {
-            "_chunk": slot,
-            **{
-                f"_r_{n}": F.when(F.col(f"_r_{n}").isNotNull(), F.struct(F.col("_at").alias("at"), F.col(f"_r_{n}").alias("row")))
-                for n in names
-            },
-        }
-    )
+    rows = rows.selectExpr(*parts, *base, slot, *[f"CASE WHEN `_r_{n}` IS NOT NULL THEN struct(_at AS at, `_r_{n}` AS row) END AS `_r_{n}`" for n in names])
     look_back, look_ahead = direction != "forward", direction != "backward"
+    ways = [w for w, used in (("b", look_back), ("f", look_ahead)) if used]
 
-    summaries = []
-    for name in names:
-        c, at = F.col(f"_r_{name}"), F.when(F.col(f"_r_{name}").isNotNull(), F.col("_at"))
-        if look_back:
-            summaries.append(F.max_by(c, at).alias(f"_b_{name}"))
-        if look_ahead:
-            summaries.append(F.min_by(c, at).alias(f"_f_{name}"))
+    pick = {"b": "max_by", "f": "min_by"}
+    summaries = [f"{pick[w]}(`_r_{n}`, CASE WHEN `_r_{n}` IS NOT NULL THEN _at END) AS `_{w}_{n}`" for n in names for w in ways]
     # one row per key and chunk of calendar
-    ends = rows.filter(F.col("_side") == 0).groupBy(*parts, "_chunk").agg(*summaries)
+    ends = rows.filter("_side = 0").groupBy(*parts, "_chunk").agg(*[F.expr(x) for x in summaries])
     chunks = spots.join(ends, [*parts, "_chunk"], "full_outer")
-    per_key = Window.partitionBy(*parts).orderBy("_chunk")
-    carried = []
-    for name in names:
-        if look_back:
-            w = per_key.rowsBetween(Window.unboundedPreceding, -1)
-            carried.append(F.last(f"_b_{name}", ignorenulls=True).over(w).alias(f"_cb_{name}"))
-        if look_ahead:
-            w = per_key.rowsBetween(1, Window.unboundedFollowing)
-            carried.append(F.first(f"_f_{name}", ignorenulls=True).over(w).alias(f"_cf_{name}"))
-    chunks = chunks.select(*parts, "_chunk", *carried)
-
-    inside = Window.partitionBy(*parts, "_chunk")
-    found = {}
-    for name in names:
-        if look_back:
-            w = inside.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-            found[f"_ib_{name}"] = F.last(f"_r_{name}", ignorenulls=True).over(w)
-        if look_ahead:
-            w = inside.orderBy(F.col("_at").desc(), F.col("_side").asc()).rowsBetween(Window.unboundedPreceding, 0)
-            found[f"_if_{name}"] = F.last(f"_r_{name}", ignorenulls=True).over(w)
-    matched = rows.withColumns(found).filter(F.col("_side") == 1).join(chunks, [*parts, "_chunk"], "left")
-
+    order = {"b": "_chunk", "f": "_chunk DESC"}
+    beyond = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    carried = [f"last(`_{w}_{n}`, true) OVER (PARTITION BY {by} ORDER BY {order[w]} {beyond}) AS `_c{w}_{n}`" for n in names for w in ways]
+    chunks = chunks.selectExpr(*parts, "_chunk", *carried)
+
+    order = {"b": "_at, _side", "f": "_at DESC, _side"}
+    upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    inside = [f"last(`_r_{n}`, true) OVER (PARTITION BY {by}, _chunk ORDER BY {order[w]} {upto}) AS `_i{w}_{n}`" for n in names for w in ways]
+    matched = rows.selectExpr(*parts, "_chunk", *base, *inside).filter("_side = 1").join(chunks, [*parts, "_chunk"], "left")
+
+    nearest = {w: "coalesce(`_i{w}_{n}`, `_c{w}_{n}`)".replace("{w}", w) for w in ways}
+    found = matched.selectExpr("_at", "_left", *[f"{nearest[w].replace('{n}', n)} AS `_{w}_{n}`" for n in names for w in ways])
     results = []
-    for name in names:
-        back = F.coalesce(F.col(f"_ib_{name}"), F.col(f"_cb_{name}")) if look_back else None
-        ahead = F.coalesce(F.col(f"_if_{name}"), F.col(f"_cf_{name}")) if look_ahead else None
-        if back is None:
-            best = ahead
-        elif ahead is None:
-            best = back
-        else:
-            farther = (F.col("_at") - back["at"]) > (ahead["at"] - F.col("_at"))
-            best = F.when(back.isNull() | farther, F.coalesce(ahead, back)).otherwise(back)
+    for n in names:
+        best = f"`_{ways[0]}_{n}`"
+        if len(ways) == 2:
+            back, ahead = f"`_b_{n}`", f"`_f_{n}`"
+            best = f"CASE WHEN {back} IS NULL OR _at - {back}.at > {ahead}.at - _at THEN coalesce({ahead}, {back}) ELSE {back} END"
         if tolerance is not None:
-            best = F.when(F.abs(best["at"] - F.col("_at")) <= tolerance, best)
-        results.append(best["row"].alias(name))
-    return matched.select("_left.*", *results)
+            best = f"CASE WHEN abs(({best}).at - _at) <= {tolerance} THEN {best} END"
+        results.append(f"({best}).row AS `{n}`")
+    return found.selectExpr("_left.*", *results)
 
 
 def available_at(bars: DataFrame, seconds: int, availability: str = "close") -> DataFrame:

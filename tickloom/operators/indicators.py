@@ -156,23 +156,24 @@ def sweep(
         size, before = series.layout(windows)
         rebase |= size + before > min(series.reach(w) for w in windows)
         rows.append((p, size, before))
-    struct = lambda p, size, before: F.struct(
-        F.lit(p["param_id"]).alias("param_id"),
-        F.lit(p["tf"]).alias("_ptf"),
-        F.lit(size).cast("long").alias("_size"),
-        F.lit(before).cast("long").alias("_before"),
-        *[F.lit(p.get(k)).cast("int").alias(f"_n_{k}") for k in names],
+    number = lambda n: "CAST(NULL AS INT)" if n is None else str(int(n))
+    choices = ", ".join(
+        f"named_struct('param_id', '{p['param_id']}', '_ptf', '{p['tf']}', '_size', {size}L, '_before', {before}L"
+        + "".join(f", '_n_{k}', {number(p.get(k))}" for k in names)
+        + ")"
+        for p, size, before in rows
     )
-    choices = F.filter(F.array(*[struct(*r) for r in rows]), lambda s: s["_ptf"] == F.col("tf"))
     tfs = sorted({p["tf"] for p in params})
     placed = series.position(bars.filter(F.col("tf").isin(tfs)), keys)
-    fanned = placed.withColumn("_p", F.explode(choices)).select(*placed.columns, "_p.*").drop("_ptf")
-    laid = series.blocked(fanned, F.col("_size"), F.col("_before"))
+    fanned = placed.selectExpr("*", f"inline(filter(array({choices}), s -> s._ptf = tf))").drop("_ptf")
+    laid = series.blocked(fanned, "_size", "_before")
     all_keys = [*keys, "param_id"]
     column = lambda k: f"_n_{k}" if k in names else None
     added = indicator_columns(laid, all_keys, "_size", "_before", column("rsi"), column("atr"), column("adx"), rebase, null_head)
     outputs = {"rsi": ["rsi"], "atr": ["atr"], "adx": ["adx", "adx_pos", "adx_neg"]}
-    added = added.withColumns({c: F.when(F.col(f"_n_{k}").isNotNull(), F.col(c)) for k in names for c in outputs[k]})
+    optional = [k for k in names if any(not p.get(k) for p in params)]
+    if optional:
+        added = added.withColumns({c: F.expr(f"CASE WHEN _n_{k} IS NOT NULL THEN {c} END") for k in optional for c in outputs[k]})
     return series.own(added, POS, "_size", "_before", *[f"_n_{k}" for k in names])
 
 

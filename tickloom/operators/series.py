@@ -54,22 +54,20 @@ def position(
     )
 
 
-def blocked(df: DataFrame, size: int | Column, before: int | Column = 0, after: int | Column = 0) -> DataFrame:
-    """Copy each positioned row into its block and, as halo, into the neighbour blocks."""
-    size = F.lit(size) if isinstance(size, int) else size
-    before = F.lit(before) if isinstance(before, int) else before
-    after = F.lit(after) if isinstance(after, int) else after
-    home = F.floor(F.col(POS) / size)
-    inner = F.col(POS) - home * size
-    targets = F.array(
-        home,
-        F.when(inner >= size - before, home + 1),
-        F.when((inner < after) & (home > 0), home - 1),
-    )
-    return (
-        df.withColumn(BLK, F.explode(F.filter(targets, lambda b: b.isNotNull())))
-        .withColumn(OWN, F.col(BLK) == F.floor(F.col(POS) / size))
-    )
+def blocked(df: DataFrame, size: int | str, before: int | str = 0, after: int | str = 0) -> DataFrame:
+    """Copy each positioned row into its block and, as halo, into the neighbour blocks.
+
+    ``size``, ``before`` and ``after`` are numbers or column names.
+    """
+    home = f"floor({POS} / {size})"
+    inner = f"({POS} - {home} * {size})"
+    targets = [home]
+    if before != 0:
+        targets.append(f"CASE WHEN {inner} >= {size} - {before} THEN {home} + 1 END")
+    if after != 0:
+        targets.append(f"CASE WHEN {inner} < {after} AND {home} > 0 THEN {home} - 1 END")
+    copies = df.selectExpr("*", f"explode(filter(array({', '.join(targets)}), b -> b IS NOT NULL)) AS {BLK}")
+    return copies.selectExpr("*", f"{BLK} = {home} AS {OWN}")
 
 
 def own(df: DataFrame, *drop: str) -> DataFrame:

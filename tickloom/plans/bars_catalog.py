@@ -341,8 +341,8 @@ def _features(spark, sf):
 
 
 def _rounded(df):
-    numbers = [F.round(c, 5).alias(c) if c in FT_NUMBERS else F.round(c, 9).alias(c) for c in FEATURES]
-    return out(df.select("horizon", "token", "ts", *numbers, "economic_event"))
+    numbers = [f"round({c}, {5 if c in FT_NUMBERS else 9}) AS {c}" for c in FEATURES]
+    return out(df.selectExpr("horizon", "token", "ts", *numbers, "economic_event"))
 
 
 @query(_ft_sql("SELECT * FROM full_ft"))

@@ -51,35 +51,31 @@ def feature_table(
     swept = sweep(bars, params_of(windows, roles)).withColumnRenamed("param_id", "horizon")
     swept = swept.withColumn("atr_normalized", atr_normalized("atr", "close"))
 
-    is_base = F.col("tf") == base
-    shift = F.lit(0)
+    shift = "0"
     if availability == "close":
-        for role in higher:
-            shift = F.when(F.col("tf") == roles[role], F.lit(lengths[roles[role]])).otherwise(shift)
+        cases = [f"WHEN '{roles[r]}' THEN {lengths[roles[r]]}" for r in higher]
+        shift = f"CASE tf {' '.join(cases)} ELSE 0 END" if cases else shift
     elif availability != "open":
         raise ValueError(f"unknown availability {availability!r}")
     trend = ["adx", "adx_pos", "adx_neg", "atr_normalized"]
-    rows = swept.select(
+    pack = lambda pairs: ", ".join(f"'{name}', {c}" for name, c in pairs)
+    left = [(c, c) for c in ("horizon", "token", "ts")] + [("rsi_15m", "rsi")] + [(f"{c}_15m", c) for c in trend]
+    rows = swept.selectExpr(
         "token",
         "horizon",
-        ((F.unix_seconds("ts") + shift) * 1_000_000).alias("_at"),
-        is_base.cast("int").alias("_side"),
-        F.when(
-            is_base,
-            F.struct("horizon", "token", "ts", F.col("rsi").alias("rsi_15m"), *[F.col(c).alias(f"{c}_15m") for c in trend]),
-        ).alias("_left"),
-        *[
-            F.when(F.col("tf") == roles[r], F.struct(*[F.col(c).alias(f"{c}_{r}") for c in trend])).alias(f"_r_{r}")
-            for r in higher
-        ],
+        f"(unix_seconds(ts) + {shift}) * 1000000 AS _at",
+        f"int(tf = '{base}') AS _side",
+        f"CASE WHEN tf = '{base}' THEN named_struct({pack(left)}) END AS _left",
+        *[f"CASE WHEN tf = '{roles[r]}' THEN named_struct({pack([(f'{c}_{r}', c) for c in trend])}) END AS _r_{r}" for r in higher],
     )
-    horizons = F.explode(F.array(*[F.lit(h) for h in windows]))
-    spots = bars.filter(is_base).select("token", horizons.alias("horizon"), F.unix_micros("ts").alias("_at"))
+    horizons = ", ".join(f"'{h}'" for h in windows)
+    spots = bars.filter(F.col("tf") == base).selectExpr("token", f"explode(array({horizons})) AS horizon", "unix_micros(ts) AS _at")
     wide = asof_rows(rows, spots, higher, ["token", "horizon"], chunk=chunk_seconds * 1_000_000)
+
     # unusable numbers go before the (never missing) time features are added
     numbers = ["rsi_15m", *[f"{c}_{r}" for r in ("15m", *higher) for c in trend]]
-    flat = wide.select("horizon", "token", "ts", "rsi_15m", *[f"{c}_15m" for c in trend], *[f"{r}.*" for r in higher])
-    clean = flat.select("horizon", "token", "ts", *[F.expr(f"CASE WHEN abs({c}) < double('Infinity') THEN {c} END AS {c}") for c in numbers])
+    flat = wide.selectExpr("horizon", "token", "ts", "rsi_15m", *[f"{c}_15m" for c in trend], *[f"`{r}`.*" for r in higher])
+    clean = flat.selectExpr("horizon", "token", "ts", *[f"CASE WHEN abs({c}) < double('Infinity') THEN {c} END AS {c}" for c in numbers])
     if how is not None:
         clean = clean.dropna(how=how, subset=numbers)
 
