@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 MILLIS_FROM = 1e12
 TIME_COLUMNS = ["timestamp", "time", "datetime", "date", "time_period_start"]
 
-NUMERIC = r"^[+-]*[0-9_]*\.?[0-9_]*$"
+NUMERIC = r"^[+-]*(?=[0-9_.]*[0-9])[0-9_]*\.?[0-9_]*$"
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?)?([Zz]|[+-]\d{2}(:?\d{2})?)?$"
 
 
@@ -22,18 +22,18 @@ def epoch_to_ts(value: Column) -> Column:
 
 def iso_to_ts(text: Column) -> Column:
     """ISO text with Z, an offset or none (then UTC); longer fractions are cut to 6 digits."""
-    cut = F.regexp_replace(text, r"([.,]\d{6})\d+", "$1")
-    dotted = F.regexp_replace(cut, ",", ".")
-    zulu = F.regexp_replace(dotted, "[zZ]$", "+00:00")
-    colon = F.regexp_replace(zulu, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    cut = F.regexp_replace(F.translate(text, "z,", "Z."), r"(\.\d{6})\d+", "$1")
+    colon = F.regexp_replace(cut, r"([+-]\d{2})(\d{2})$", "$1:$2")
     return F.when(text.rlike(ISO), colon.try_cast("timestamp"))
 
 
 def parse_ts(value: str | Column) -> Column:
     """Any supported text or number; what cannot be parsed is NULL."""
     text = F.trim((F.col(value) if isinstance(value, str) else value).cast("string"))
-    number = F.when(text.rlike(NUMERIC) & text.rlike("[0-9]"), F.regexp_replace(text, "_", "").try_cast("double"))
-    return F.when(number.isNotNull(), epoch_to_ts(number)).otherwise(iso_to_ts(text))
+    # ISO text has a dash inside, numbers only in front
+    iso = F.substring(text, 5, 1) == "-"
+    number = F.when(text.rlike(NUMERIC), F.translate(text, "_", "").try_cast("double"))
+    return F.when(iso, iso_to_ts(text)).otherwise(epoch_to_ts(number))
 
 
 def with_parsed_ts(df: DataFrame, source: str, name: str = "ts") -> DataFrame:

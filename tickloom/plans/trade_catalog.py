@@ -415,7 +415,7 @@ def feature_slice(spark, sf):
     return out(store.union_common([f.filter(F.col("token").isin("click", "view") & (F.col("ts") >= since)) for f in frames]))
 
 
-@query()
+@query("SELECT o_orderkey, coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(o_custkey::VARCHAR, '') AS o_custkey FROM orders")
 def categorical_cast(spark, sf):
     return store.categorical(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), ["o_orderstatus", "o_custkey"])
 
@@ -615,7 +615,19 @@ def signal_precision_recall(spark, sf):
     return made.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
-@query()
+@query(
+    with_views("closed", extra={"n": "SELECT *, pnl_usd - fees AS net FROM closed"})
+    + f""", k AS (SELECT {KPI} FROM n), b AS (SELECT sum(c_acctbal) AS t FROM customer),
+    p AS (SELECT account::VARCHAR AS account, token, direction, position_size, entry_price, epoch_us(entry_ts) // 1000 AS entry_time FROM trades
+        WHERE exit_ts IS NULL AND trade_id % 8 > 0 AND trade_id % 9 > 0),
+    f AS (SELECT *, row_number() OVER (ORDER BY account, token, entry_time) AS line FROM p)
+    SELECT 'title' AS section, 1::INTEGER AS line, 'Weekly PnL Summary' AS text
+    UNION ALL SELECT 'kpi', 1, 'P/L: $' || format('{{:,.2f}}', net_pl_usd) || ' (' || format('{{:.2f}}', avg_pl_pct) || '%)' FROM k
+    UNION ALL SELECT 'kpi', 2, 'Trades: ' || total_trades || ' | Win Rate: ' || format('{{:.2f}}', win_rate) || '% | Profit Factor: ' || format('{{:.2f}}', profit_factor) FROM k
+    UNION ALL SELECT 'balance', 1, 'Total Portfolio Value: $' || format('{{:,.2f}}', t) FROM b
+    UNION ALL SELECT 'position', line::INTEGER, token || ' ' || direction || ' size=' || format('{{:.4f}}', position_size) || ' entry=$' || format('{{:,.2f}}', entry_price)
+        || ' SL=$' || format('{{:,.2f}}', entry_price * 0.5) || ' TP=$' || format('{{:,.2f}}', entry_price * 2) FROM f WHERE line <= 20"""
+)
 def report_rows(spark, sf):
     kpis = T.trade_kpis(closed(spark, sf))
     positions = T.open_positions(_position_rows(spark, sf))
