@@ -145,7 +145,8 @@ TRADE = "type string, symbol_id string, time_exchange string, price string, size
 def decode_trades(df: DataFrame, json: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Trade messages to ticks, for batch and streams; other messages and unusable trades
     are dropped."""
-    m = df.select(*keep, F.from_json(json, TRADE).alias("m")).filter(F.col("m")["type"] == "trade").select(*keep, "m.*")
+    # a generator keeps later filters from repeating the parse
+    m = df.select(*keep, F.inline(F.array(F.from_json(json, TRADE)))).filter("type = 'trade'")
     ticks = m.select(
         *keep,
         base_token("symbol_id").alias("token"),
