@@ -40,6 +40,12 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> list[str]:
         if pd.api.types.is_float_dtype(a[c]) != pd.api.types.is_float_dtype(b[c]) or pd.api.types.is_bool_dtype(a[c]) != pd.api.types.is_bool_dtype(b[c]):
             found.append(f"{c}: types {a[c].dtype} and {b[c].dtype}")
         same = (a[c] == b[c]) | (a[c].isna() & b[c].isna())
+        if pd.api.types.is_float_dtype(a[c]) and pd.api.types.is_float_dtype(b[c]):
+            # a value exactly between two rounded ones may fall either way: one unit of the
+            # fifth digit, in at most one row of a thousand
+            tie = ~same & ((a[c] - b[c]).abs() <= 1.1e-5)
+            if tie.sum() <= max(1, len(a) // 1000):
+                same = same | tie
         if not same.all():
             at = (~same).idxmax()
             found.append(f"{c}: {int((~same).sum())} differ, e.g. {a.loc[at].to_dict()} / {b.loc[at].to_dict()}")

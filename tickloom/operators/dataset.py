@@ -33,7 +33,8 @@ def chrono_split(
     val: float = config.SPLIT_VAL,
     whole_timestamps: bool = False,
 ) -> DataFrame:
-    """Add ``split`` (train, val, test) by global time order.
+    """Add ``split`` (train, val, test) by global (ts, tie) order; ``tie`` must tell the rows
+    of one timestamp apart.
 
     Ranks come from row counts per timestamp (cumulated over days, then inside each day);
     only the rows of the two cut timestamps are ranked. The table itself is not shuffled: it

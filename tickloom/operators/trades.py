@@ -164,7 +164,7 @@ def money(c: str | Column) -> Column:
 
 def report_rows(kpis: DataFrame, positions: DataFrame, balance: DataFrame, title: str, top: int = 20) -> DataFrame:
     """(section, line, text) rows of a trade report; lists the first ``top`` positions in
-    (account, token, entry time) order."""
+    (account, token, entry time) order, ties by direction, size and price."""
     infinite = F.col("profit_factor") == float("inf")
     head = kpis.select(
         F.explode(
@@ -187,7 +187,7 @@ def report_rows(kpis: DataFrame, positions: DataFrame, balance: DataFrame, title
         ).alias("r")
     ).select("r.*")
     total = balance.select(F.lit("balance").alias("section"), F.lit(1).alias("line"), F.concat(F.lit("Total Portfolio Value: "), money("total_balance")).alias("text"))
-    order = ["account", "token", "entry_time"]
+    order = ["account", "token", "entry_time", "direction", "position_size", "entry_price"]
     first = positions.orderBy(*order).limit(top)
     # at most ``top`` rows are left, so one small window numbers them
     listed = first.select(

@@ -620,7 +620,7 @@ def signal_precision_recall(spark, sf):
     + f""", k AS (SELECT {KPI} FROM n), b AS (SELECT sum(c_acctbal) AS t FROM customer),
     p AS (SELECT account::VARCHAR AS account, token, direction, position_size, entry_price, epoch_us(entry_ts) // 1000 AS entry_time FROM trades
         WHERE exit_ts IS NULL AND trade_id % 8 > 0 AND trade_id % 9 > 0),
-    f AS (SELECT *, row_number() OVER (ORDER BY account, token, entry_time) AS line FROM p)
+    f AS (SELECT *, row_number() OVER (ORDER BY account, token, entry_time, direction, position_size, entry_price) AS line FROM p)
     SELECT 'title' AS section, 1::INTEGER AS line, 'Weekly PnL Summary' AS text
     UNION ALL SELECT 'kpi', 1, 'P/L: $' || format('{{:,.2f}}', net_pl_usd) || ' (' || format('{{:.2f}}', avg_pl_pct) || '%)' FROM k
     UNION ALL SELECT 'kpi', 2, 'Trades: ' || total_trades || ' | Win Rate: ' || format('{{:.2f}}', win_rate) || '% | Profit Factor: ' || format('{{:.2f}}', profit_factor) FROM k
