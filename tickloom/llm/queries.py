@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import tokens
+from tickloom.llm import leaks, mixing, tokens
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,7 +15,17 @@ def op1_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.quality(_read(spark, folder, "documents"), "doc_id")
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_plan(_read(spark, folder, "documents"), "doc_id")
+
+
+def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), "doc_id")
+
+
 QUERIES = {
     "op1_fertility": op1_fertility,
+    "op7_mixing": op7_mixing,
+    "op10_leaks": op10_leaks,
 }
 ORACLES: dict[str, str] = {}
