@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import leaks, mixing, tokens
+from tickloom.llm import extract, leaks, mixing, tokens
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(_read(spark, folder, "documents"), "doc_id")
 
 
+def op8_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(_read(spark, folder, "pages"), "page_id", "url")
+
+
 def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), "doc_id")
 
@@ -26,6 +30,7 @@ def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op7_mixing": op7_mixing,
+    "op8_extract": op8_extract,
     "op10_leaks": op10_leaks,
 }
 ORACLES: dict[str, str] = {}
