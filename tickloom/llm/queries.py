@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import extract, leaks, mixing, tokens
+from tickloom.llm import extract, leaks, mixing, secrets, tokens
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op8_extract(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(_read(spark, folder, "pages"), "page_id", "url")
 
 
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(_read(spark, folder, "documents"), "doc_id")
+
+
 def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), "doc_id")
 
@@ -31,6 +35,7 @@ QUERIES = {
     "op1_fertility": op1_fertility,
     "op7_mixing": op7_mixing,
     "op8_extract": op8_extract,
+    "op9_secrets": op9_secrets,
     "op10_leaks": op10_leaks,
 }
 ORACLES: dict[str, str] = {}
