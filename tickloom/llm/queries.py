@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import extract, leaks, mixing, secrets, tokens
+from tickloom.llm import extract, jaccard, leaks, mixing, secrets, tokens
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.quality(_read(spark, folder, "documents"), "doc_id")
 
 
+def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(_read(spark, folder, "documents"), "doc_id", shingle=4, percent=85)
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(_read(spark, folder, "documents"), "doc_id")
 
@@ -33,6 +37,7 @@ def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_fertility": op1_fertility,
+    "op5_jaccard": op5_jaccard,
     "op7_mixing": op7_mixing,
     "op8_extract": op8_extract,
     "op9_secrets": op9_secrets,
