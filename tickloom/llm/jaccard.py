@@ -17,7 +17,7 @@ and a dual traversal drops node pairs whose maximum possible overlap is too smal
 apart, or that are one component already. Pairs of leaves that remain are compared exactly.
 
 Subtrees of over ``GROUP`` sets are split in salted blocks that meet pairwise. No pair of copies and no
-pair inside a component is ever listed. A filter of fixed size (``BITS``) is all that reaches the driver.
+pair inside a component is ever listed. A filter of fixed size is all that reaches the driver.
 
 Null texts and texts without words have an empty set and are linked with nothing: their component is
 their own id. Fewer words than a shingle are one shingle. Rows with equal ids or null ids are kept, each
@@ -36,11 +36,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.llm import words as W
+from tickloom.llm.filters import key_filter, passes
 from tickloom.llm.graph import components
 from tickloom.session import checkpoint
 
 GROUP = 2048
-BITS = 1 << 24
 FANOUT = 8
 
 
@@ -126,18 +126,9 @@ def subtrees(docs: DataFrame, text: str = "text", shingle: int = 4, percent: int
     return docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "sig long, set long")
 
 
-def _filter(sets: DataFrame) -> np.ndarray:
-    bit = f"pmod(set, {BITS})"
-    cells = sets.groupBy(F.expr(f"cast({bit} div 64 AS int)").alias("cell")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 AS int)))").alias("bits"))
-    out = np.zeros(BITS // 64, np.int64)
-    rows = cells.toPandas()
-    out[rows["cell"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def contents(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
     """(set, shingles) of the sets in ``wanted``, once each."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+    bits = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "set"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = bits.value, set()
@@ -145,8 +136,7 @@ def contents(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle: in
             keys, sets = [], []
             for s in _sets(cut, shingle):
                 if len(s) and (key := set_key(s)) not in seen:
-                    bit = key % BITS
-                    if int(held[bit // 64]) >> (bit % 64) & 1:
+                    if passes(held, np.array([key]))[0]:
                         seen.add(key)
                         keys.append(key)
                         sets.append(s.tobytes())

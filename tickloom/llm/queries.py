@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import extract, jaccard, leaks, mixing, secrets, tokens
+from tickloom.llm import extract, jaccard, leaks, mixing, secrets, substrings, tokens
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(_read(spark, folder, "documents"), "doc_id", shingle=4, percent=85)
 
 
+def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup(_read(spark, folder, "documents"), "doc_id", window=35)
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(_read(spark, folder, "documents"), "doc_id")
 
@@ -38,6 +42,7 @@ def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op5_jaccard": op5_jaccard,
+    "op6_substrings": op6_substrings,
     "op7_mixing": op7_mixing,
     "op8_extract": op8_extract,
     "op9_secrets": op9_secrets,
