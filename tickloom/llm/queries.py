@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import extract, jaccard, leaks, mixing, secrets, substrings, tokens
+from tickloom.llm import extract, jaccard, language, leaks, mixing, quotes, secrets, substrings, surrogates, tokens
+
+
+#: The key of a real run comes from the caller's secret store.
+SURROGATE_KEY = b"a key for the test tables"
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +19,27 @@ def op1_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.quality(_read(spark, folder, "documents"), "doc_id")
 
 
+def op2_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.surrogates(_read(spark, folder, "documents"), "doc_id", key=SURROGATE_KEY)
+
+
+def op3_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.conversations(_read(spark, folder, "conversations"))
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with their markup's language, and documents with the declared one and their source as host."""
+    docs, pages = _read(spark, folder, "documents"), _read(spark, folder, "pages")
+    model = language.train(docs)
+    no_id = F.lit(None).cast("long")
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>|&#?\w+;", " ")
+    markup = F.regexp_extract("html", r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
+    rows = pages.select(no_id.alias("doc_id"), "page_id", F.col("url").alias("address"), markup.alias("declared"), plain.alias("text")).unionByName(
+        docs.select("doc_id", no_id.alias("page_id"), F.col("source").alias("address"), F.col("lang").alias("declared"), "text")
+    )
+    return language.identify(rows, model, "doc_id", "page_id")
+
+
 def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(_read(spark, folder, "documents"), "doc_id", shingle=4, percent=85)
 
@@ -41,6 +66,9 @@ def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_fertility": op1_fertility,
+    "op2_surrogates": op2_surrogates,
+    "op3_quotes": op3_quotes,
+    "op4_language": op4_language,
     "op5_jaccard": op5_jaccard,
     "op6_substrings": op6_substrings,
     "op7_mixing": op7_mixing,
