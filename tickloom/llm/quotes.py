@@ -58,7 +58,8 @@ def _passages(lines: Column) -> Column:
 def _own(lines: Column) -> Column:
     """The text without quotes and what announces them."""
     kept = F.filter(lines, lambda line: (line["level"] == 0) & ~line["body"].rlike(_ANNOUNCE))
-    return F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda line: line["body"]), "\n"), r"\n{3,}", "\n\n"))
+    text = F.array_join(F.transform(kept, lambda line: line["body"]), "\n")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def messages(table: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:

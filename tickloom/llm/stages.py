@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import tokens
+from tickloom.llm import jaccard, leaks, mixing as mix, secrets, tokens
+from tickloom.session import checkpoint
 
 
 def fresh_folder(shared: str) -> str:
@@ -21,16 +22,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each group of near copies (five words, 0.8): the smallest id, then the first of equal rows."""
+    row = F.struct(*docs.columns).alias("_row")
+    found = jaccard.join(docs.withColumn("_key", F.xxhash64(*docs.columns)), "_key", shingle=5, percent=80)
+    # rows that stay, by content: a group keeps its smallest (id, key); rows without words are no group
+    whole = docs.select(row, F.xxhash64(*docs.columns).alias("_key"))
+    keyed = found.groupBy("_key").agg(F.first("component_id").alias("component_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("_rows"))
+    ids = docs.select(F.xxhash64(*docs.columns).alias("_key"), "doc_id").distinct()
+    named = keyed.join(ids, "_key").withColumn("group", F.when(F.col("n_shingles") == 0, F.struct(F.lit(0).alias("k"), F.col("_key").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("component_id").alias("v"))))
+    stay = checkpoint(named.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_key", "_rows")).alias("s")).select("s._key", (F.col("s._rows") > 1).alias("_twice")))
+    once = whole.join(stay, "_key").drop("_key")
+    # equal rows are the exception: only they are grouped
+    return once.where("NOT _twice").select("_row.*").union(once.where("_twice").select("_row").distinct().select("_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = checkpoint(leaks.leaks(docs.select(F.xxhash64(*docs.columns).alias("_key"), "text"), items, "_key").select("_key").distinct())
+    return docs.withColumn("_key", F.xxhash64(*docs.columns)).join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All documents, with their secrets masked and n_chars counted again where the text changed."""
+    new = secrets.masked(docs.withColumn("_before", F.length("text")))
+    changed = F.length("text") != F.col("_before")
+    return new.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The mix: per document its size, the target of its source, the words taken and the output shards."""
+    return mix.mix_plan(docs, "doc_id", "source")
