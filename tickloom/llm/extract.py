@@ -5,8 +5,9 @@ section starts a new line. A line has its text, its number of tags, the text ins
 enclosing elements. Lines inside menus, headers and footers of the page, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are boilerplate. The text-to-tag ratios of all lines are
 smoothed by a Gaussian and split in two clusters at a threshold; the upper cluster seeds the content. Each
-seed's section (the nearest article or main element, else the run of sections it lies in) is a content
-region, and all its lines but boilerplate are the page's text, short ones included.
+seed's section (the nearest article or main element) is a content region; on a page without such elements
+it is the run from the first seed to the last one and all that shares a container with a seed. All lines of
+the region but boilerplate are the page's text, short ones included.
 
 Null or empty pages and pages without content give an empty text. Broken markup, unclosed elements and
 character references cut at the end are read as far as they go. Repeated rows give equal rows.
@@ -35,6 +36,7 @@ BLOCK = frozenset(
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 SECTION = frozenset("article main".split())
+BOX = frozenset("div section td body center html".split())
 # what an element's opening ends if it is still open
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NOTHING: frozenset[str] = frozenset()
@@ -51,15 +53,15 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: [texts, tags, characters in links, boilerplate, section]."""
+    """Lines of a page: [texts, tags, characters in links, boilerplate, section, container]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # name, and whether it or what it stands in is silent, is boilerplate; section; links around
-        self.open: list[tuple[str, bool, bool, int, int]] = []
+        # name, and whether it or what it stands in is silent, is boilerplate; section; links around; container
+        self.open: list[tuple[str, bool, bool, int, int, int]] = []
         self.lines: list[list] = []
         self.silent = self.aside = False
-        self.section = self.sections = self.links = 0
+        self.section = self.sections = self.links = self.box = self.boxes = 0
         self.fresh = True
 
     def _marked(self, name: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -77,10 +79,10 @@ class _Lines(HTMLParser):
     def _line(self) -> list:
         if not self.fresh and self.lines:
             last = self.lines[-1]
-            if last[3] == self.aside and last[4] == self.section:
+            if last[3] == self.aside and last[4] == self.section and last[5] == self.box:
                 return last
         self.fresh = False
-        self.lines.append([[], 0, 0, self.aside, self.section])
+        self.lines.append([[], 0, 0, self.aside, self.section, self.box])
         return self.lines[-1]
 
     def updatepos(self, i: int, j: int) -> int:
@@ -88,7 +90,7 @@ class _Lines(HTMLParser):
 
     def _pop(self, to: int) -> None:
         del self.open[to:]
-        _, self.silent, self.aside, self.section, self.links = self.open[-1] if self.open else ("", False, False, 0, 0)
+        _, self.silent, self.aside, self.section, self.links, self.box = self.open[-1] if self.open else ("", False, False, 0, 0, 0)
 
     def handle_starttag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
         block = name in BLOCK
@@ -109,10 +111,13 @@ class _Lines(HTMLParser):
         if name in SECTION:
             self.sections += 1
             self.section = self.sections
+        if name in BOX:
+            self.boxes += 1
+            self.box = self.boxes
         self.silent = self.silent or name in SILENT
         self.aside = self.aside or name in ASIDE or bool(attrs or name == "header") and self._marked(name, attrs)
         self.links += name == "a"
-        self.open.append((name, self.silent, self.aside, self.section, self.links))
+        self.open.append((name, self.silent, self.aside, self.section, self.links, self.box))
         if block:
             self.fresh = True
 
@@ -143,18 +148,21 @@ def _smooth(values: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
-    parser = _Lines()
+    parser, html = _Lines(), html or ""
+    cut = html.rfind("<!--")
+    if cut >= 0 and html.find("-->", cut) < 0:  # a comment that never ends
+        html = html[:cut]
     try:
-        parser.feed(html or "")
+        parser.feed(html)
         parser.close()
     except AssertionError:  # the parser gives up on some broken declarations: what came before stays
         pass
     lines = []
-    for texts, tags, links, aside, section in parser.lines:
+    for texts, tags, links, aside, section, box in parser.lines:
         text = _SPACE.sub(" ", "".join(texts)).strip()
         if text:
             own = 0 if aside else max(len(text) - links, 0)
-            lines.append((text, own / max(tags, 1), aside, section))
+            lines.append((text, own / max(tags, 1), aside, section, box))
     open_lines = [x for x in lines if not x[2]]
     if not open_lines:
         return ""
@@ -165,7 +173,8 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
     if sections:
         inside = [x[3] in sections for x in lines]
     else:
-        inside = [seeds[0] <= i <= seeds[-1] for i in range(len(lines))]
+        boxes = {lines[i][4] for i in seeds}
+        inside = [seeds[0] <= i <= seeds[-1] or x[4] in boxes for i, x in enumerate(lines)]
     return " ".join(x[0] for x, within in zip(lines, inside) if within and not x[2])
 
 

@@ -10,14 +10,15 @@ hash of a part's content is the key of a subtree, and every link lies inside a s
 steps of the square root of two; a set whose partner may be a step above takes part in that step too. A
 set with too few non-empty parts adds its smallest shingles by the prefix principle.
 
-Trees. In a subtree every set is first compared with the smallest key (the pivot); what is linked there
-falls into components. Only subtrees left with several components are searched further: their leaves are
-the sets' token bitmaps in order of size, inner nodes hold the OR of the bitmaps and the range of sizes,
-and a dual traversal drops node pairs whose maximum possible overlap is too small, whose sizes are too far
-apart, or that are one component already. Pairs of leaves that remain are compared exactly.
+Trees. Subtrees of one smallest key (the pivot) form one tree: a set that shares many of them is sent
+once. The leaves are token bitmaps in order of size, inner nodes hold the OR of the bitmaps and the range of
+sizes, and a dual traversal drops node pairs whose maximum possible overlap is too small or whose sizes are
+too far apart. Pairs of leaves that remain are compared exactly unless they are one component by now, so a
+tree of m sets returns at most m - 1 links.
 
-Subtrees of over ``GROUP`` sets are split in salted blocks that meet pairwise. No pair of copies and no
-pair inside a component is ever listed. A filter of fixed size is all that reaches the driver.
+Trees of over ``GROUP`` sets (or as many shingles as ``GROUP`` sets of 512) are split in salted blocks that
+meet pairwise. No pair of copies and no pair inside a component is ever listed. A filter of fixed size is
+all that reaches the driver.
 
 Null texts and texts without words have an empty set and are linked with nothing: their component is
 their own id. Fewer words than a shingle are one shingle. Rows with equal ids or null ids are kept, each
@@ -40,7 +41,7 @@ from tickloom.llm.filters import key_filter, passes
 from tickloom.llm.graph import components
 from tickloom.session import checkpoint
 
-GROUP = 2048
+GROUP = 1024
 FANOUT = 8
 
 
@@ -127,7 +128,7 @@ def subtrees(docs: DataFrame, text: str = "text", shingle: int = 4, percent: int
 
 
 def contents(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
-    """(set, shingles) of the sets in ``wanted``, once each."""
+    """(set, shingles) of the sets in ``wanted`` and of some others, once per task."""
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "set"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,30 +143,12 @@ def contents(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle: in
                         sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["set", "shingles"])
 
-    found = docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "set long, shingles binary")
-    return found.join(wanted, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                need = int(required(len(p) + len(q), percent))
-                linked.append(min(len(p), len(q)) >= need and len(np.intersect1d(p, q, assume_unique=True)) >= need)
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-    x, y = sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+    return docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "set long, shingles binary")
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each shingle in a power of two of bits, two to four times the size."""
-    size = 1 << max(8, int(2 * len(s) - 1).bit_length())
+    """A bit for each shingle in a power of two of bits, eight to sixteen times the size."""
+    size = 1 << max(8, int(8 * len(s) - 1).bit_length())
     out = np.zeros(size, bool)
     out[(W.mix(s) & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -176,105 +159,111 @@ def _folded(bits: bytes, size: int) -> np.ndarray:
 
 
 class Tree:
-    """Nodes level by level; a node has OR bitmap, range of sizes, most shingles beyond its bits, component."""
+    """Nodes level by level; a node has OR bitmap, range of sizes and most shingles beyond its bits."""
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, label: np.ndarray):
-        extra = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        level = (bits, n, n, extra, label, np.ones(len(n), bool))
+    def __init__(self, bits: np.ndarray, n: np.ndarray):
+        level = (bits, n, n, n - np.bitwise_count(bits).sum(axis=1).astype(np.int64))
         self.levels = [level]
         while len(level[1]) > FANOUT:
             at = np.arange(0, len(level[1]), FANOUT)
-            b, low, high, e, c, one = level
-            same = np.minimum.reduceat(c, at) == np.maximum.reduceat(c, at)
-            level = (np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(e, at), c[at], same & np.logical_and.reduceat(one, at))
+            b, low, high, extra = level
+            level = (np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at))
             self.levels.append(level)
 
+    def raised(self, height: int) -> None:
+        """More levels of one root, up to as many as the other tree has."""
+        while len(self.levels) < height:
+            b, low, high, extra = self.levels[-1]
+            self.levels.append((np.bitwise_or.reduce(b, axis=0, keepdims=True), low.min(keepdims=True), high.max(keepdims=True), extra.max(keepdims=True)))
+
+
+def _grid(n: int, m: int) -> np.ndarray:
+    return np.stack(np.meshgrid(np.arange(n), np.arange(m), indexing="ij"), -1).reshape(-1, 2)
+
 
 def traverse(left: Tree, right: Tree, percent: int) -> np.ndarray:
-    """Pairs of leaves (i, j) that may be linked and aren't in one component."""
+    """Pairs of leaves (i, j) that may be linked."""
+    left.raised(len(right.levels))
+    right.raised(len(left.levels))
     depth = len(left.levels) - 1
-    pairs = np.stack(np.meshgrid(np.arange(len(left.levels[depth][1])), np.arange(len(right.levels[depth][1])), indexing="ij"), -1).reshape(-1, 2)
+    pairs, step = _grid(len(left.levels[depth][1]), len(right.levels[depth][1])), _grid(FANOUT, FANOUT)
     while True:
         kept = []
         for part in np.array_split(pairs, max(1, len(pairs) // 4096)):
-            (b1, l1, h1, e1, c1, o1), (b2, l2, h2, e2, c2, o2) = ([x[part[:, k]] for x in tree.levels[depth]] for k, tree in enumerate((left, right)))
-            most = np.bitwise_count(b1 & b2).sum(axis=1).astype(np.int64) + np.minimum(e1, e2)
-            possible = np.minimum(most, np.minimum(h1, h2)) >= required(l1 + l2, percent)
+            (b1, l1, h1, e1), (b2, l2, h2, e2) = ([x[part[:, k]] for x in tree.levels[depth]] for k, tree in enumerate((left, right)))
             near = (100 * h1 >= percent * l2) & (100 * h2 >= percent * l1)
-            kept.append(part[possible & near & ~((c1 == c2) & o1 & o2)])
+            most = np.bitwise_count(b1 & b2).sum(axis=1).astype(np.int64) + np.minimum(e1, e2)
+            kept.append(part[near & (np.minimum(most, np.minimum(h1, h2)) >= required(l1 + l2, percent))])
         pairs = np.concatenate(kept)
         if depth == 0 or not len(pairs):
             return pairs
         depth -= 1
-        step = np.stack(np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij"), -1).reshape(-1, 2)
         pairs = (pairs[:, None, :] * FANOUT + step[None]).reshape(-1, 2)
         pairs = pairs[(pairs[:, 0] < len(left.levels[depth][1])) & (pairs[:, 1] < len(right.levels[depth][1]))]
 
 
-def _search(percent: int):
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("set").sort_values(["n", "set"])
-        words = min(len(b) // 8 for b in group["bits"])
-        bits = np.stack([_folded(b, words) for b in group["bits"]])
-        n, label, keys, side = (group[c].to_numpy() for c in ("n", "label", "set", "side"))
-        pick = [np.flatnonzero(side == s) for s in (0, 1)]
-        if not len(pick[1]):
-            pick[1] = pick[0]
-        # both sides need as many levels: the smaller one is padded by a tree of as many leaves
-        trees = [Tree(bits[p], n[p], label[p]) for p in pick]
-        while len(trees[0].levels) != len(trees[1].levels):
-            short = min(trees, key=lambda t: len(t.levels))
-            b, low, high, e, c, one = short.levels[-1]
-            short.levels.append((np.bitwise_or.reduce(b, axis=0, keepdims=True), low.min(keepdims=True), high.max(keepdims=True), e.max(keepdims=True), c[:1], np.array([one.all() and c.min() == c.max()])))
-        found = traverse(*trees, percent)
-        a, b = keys[pick[0]][found[:, 0]], keys[pick[1]][found[:, 1]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
+def spanning(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs (i, j) that join all that the pairs' links join; exact."""
+    root = list(range(len(sets)))
 
-    return search
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
+    links = []
+    for i, j in pairs.tolist():
+        a, b = find(i), find(j)
+        if a != b and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= required(len(sets[i]) + len(sets[j]), percent):
+            root[b] = a
+            links.append((i, j))
+    return links
 
-def tree_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = 85) -> DataFrame:
-    """Pairs that the trees can't exclude, from subtrees of three sets or more with several components."""
-    label = F.coalesce("label", "set")
-    named = members.join(labels.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", label.alias("label")).distinct()
-    open_ = named.groupBy("sig").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).where("m > 2 AND l < h").select("sig", F.ceil(F.col("m") / GROUP).cast("int").alias("r"))
 
-    def leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
-            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s) for s in found], pa.binary())], ["set", "n", "bits"])
+def _search(percent: int):
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["set", "side"])
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        order = np.argsort([len(s) for s in sets], kind="stable")
+        sets, keys, side = [sets[i] for i in order], group["set"].to_numpy()[order], group["side"].to_numpy()[order]
+        maps = [bitmap(s) for s in sets]
+        words = min(len(m) // 8 for m in maps)
+        bits, n = np.stack([_folded(m, words) for m in maps]), np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if side.any():
+            pairs = np.empty((0, 2), np.int64)
+            if len(left) and len(right):
+                pairs = traverse(Tree(bits[left], n[left]), Tree(bits[right], n[right]), percent)
+                pairs = np.stack([left[pairs[:, 0]], right[pairs[:, 1]]], axis=1)
+        else:
+            tree = Tree(bits, n)
+            pairs = traverse(tree, tree, percent)
+            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        links = spanning(sets, pairs, percent)
+        return pd.DataFrame({"a": keys[[i for i, _ in links]], "b": keys[[j for _, j in links]]}, dtype=np.int64)
 
-    bits = sets.mapInArrow(leaves, "set long, n long, bits binary")
-    rows = checkpoint(named.join(open_, "sig")).join(bits, "set")
-    own = F.pmod(F.xxhash64("set"), F.col("r")).cast("int")
-    # block i meets block j once, i <= j; a block alone with itself has one side
-    other = F.explode(F.sequence(F.lit(0), F.col("r") - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", other)
-    blocks = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set", "label", "n", "bits")
-    return blocks.groupBy("sig", "i", "j").applyInPandas(_search(percent), "a long, b long").distinct()
+    return search
 
 
-def linked(docs: DataFrame, text: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
-    """(node, label): components of the sets, by their keys, of at least two sets."""
+def links(docs: DataFrame, sizes: DataFrame, text: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
+    """Links (a, b) between sets, enough to join every component; ``sizes`` has (set, n)."""
     by_sig = Window.partitionBy("sig")
-    found = subtrees(docs, text, shingle, percent)
-    members = checkpoint(found.withColumn("pivot", F.min("set").over(by_sig)).withColumn("last", F.max("set").over(by_sig)).where("pivot < last").drop("last"))
-    pivots = checkpoint(members.where("pivot < set").select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct())
-    wanted = members.select("set").distinct()
-    sets = checkpoint(contents(docs, wanted, text, shingle))
-    first = checkpoint(verified(pivots, sets, percent))
-    labels = checkpoint(components(first))
-    more = checkpoint(tree_pairs(members, labels, sets, percent).join(pivots, ["a", "b"], "left_anti"))
-    second = checkpoint(verified(more, sets, percent))
-    if second.isEmpty():
-        return labels
-    return checkpoint(components(first.union(second)))
+    found = subtrees(docs, text, shingle, percent).withColumn("pivot", F.min("set").over(by_sig)).withColumn("last", F.max("set").over(by_sig))
+    members = checkpoint(found.where("pivot < last").select("pivot", "set").distinct())
+    blocks = members.join(sizes, "set").groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / (512 * GROUP))).cast("int").alias("r"))
+    own, every = F.pmod(F.xxhash64("set"), F.col("r")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("r") - 1))
+    # block i meets block j once, i <= j; a block that meets itself is all on side 0
+    dealt = members.join(blocks, "pivot").withColumn("own", own).withColumn("other", every)
+    dealt = dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set")
+    full = dealt.join(contents(docs, members.select("set").distinct(), text, shingle), "set")
+    return full.groupBy("pivot", "i", "j").applyInPandas(_search(percent), "a long, b long")
 
 
 def join(docs: DataFrame, *keep: str | Column, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
     """The columns ``keep`` of each row with n_shingles and component_id."""
     rows = checkpoint(set_keys(docs, *keep, F.col(doc_id).alias("_id"), text=text, shingle=shingle))
-    labels = linked(docs, text, shingle, percent)
+    sizes = rows.where("_set IS NOT NULL").select(F.col("_set").alias("set"), F.col("n_shingles").alias("n")).distinct()
+    labels = components(links(docs, sizes, text, shingle, percent))
     per_set = rows.where("_set IS NOT NULL").groupBy("_set").agg(F.min("_id").alias("_least"))
     named = per_set.join(labels.withColumnRenamed("node", "_set"), "_set", "left").withColumn("label", F.coalesce("label", "_set"))
     smallest = named.groupBy("label").agg(F.min("_least").alias("_component"))

@@ -96,8 +96,8 @@ class _Vocabularies:
             self._forget()
         new = [w for w in distinct if w not in self.known]
         if new:
-            runs = [w if len(w) <= RUN else w[i : i + RUN] for w in new for i in range(0, len(w), RUN)]
-            per_word = np.array([-(-len(w) // RUN) for w in new])
+            runs = [w if len(w) <= RUN else w[i : i + RUN] for w in new for i in range(0, max(len(w), 1), RUN)]
+            per_word = np.array([max(1, -(-len(w) // RUN)) for w in new])
             pieces = self.sp.encode(runs, num_threads=1)
             lengths = np.fromiter(map(len, pieces), np.int64, len(runs))
             flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(lengths.sum()))
@@ -107,7 +107,7 @@ class _Vocabularies:
             at = np.flatnonzero(joined == self.newline[0])
             counts = np.diff(np.concatenate([[-1], at])) - 1
             first = np.concatenate([[0], np.cumsum(per_word)])[:-1]
-            n_bytes = np.add.reduceat(self.byte_pieces[flat].astype(np.int32), np.cumsum(lengths) - lengths)
+            n_bytes = _per_text(self.byte_pieces[flat], np.concatenate([[0], np.cumsum(lengths)]))
             for name, each in (("lengths", lengths), ("counts", counts), ("n_bytes", n_bytes)):
                 setattr(self, name, np.concatenate([getattr(self, name), np.add.reduceat(each, first).astype(np.int32)]))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
