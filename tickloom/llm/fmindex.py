@@ -35,13 +35,19 @@ class Wavelet:
             self.levels.append(Bits(ones))
             symbols = np.concatenate([symbols[~ones], symbols[ones]])
 
+        # where each symbol's places begin after the last level
+        self.begin = self._down(np.arange(most + 1), np.zeros(most + 1, np.int64))
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for i, level in enumerate(self.levels):
+            ones = level.rank(at)
+            at = np.where((symbol >> (len(self.levels) - 1 - i) & 1).astype(bool), level.zeros + ones, at - ones)
+        return at
+
     def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each symbol before ``low`` and before ``high``."""
-        start = np.zeros_like(low)
-        for i, level in enumerate(self.levels):
-            one = (symbol >> (len(self.levels) - 1 - i) & 1).astype(bool)
-            start, low, high = (np.where(one, level.zeros + r, x - r) for x in (start, low, high) for r in (level.rank(x),))
-        return low - start, high - start
+        both = self._down(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return both[: len(low)] - self.begin[symbol], both[len(low) :] - self.begin[symbol]
 
 
 def suffixes(text: np.ndarray) -> np.ndarray:
@@ -51,7 +57,7 @@ def suffixes(text: np.ndarray) -> np.ndarray:
         follow = np.zeros_like(rank)
         follow[:-width] = rank[width:] + 1
         key = rank * (len(text) + int(text.max(initial=0)) + 2) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         fresh = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         rank = np.empty_like(rank)

@@ -116,9 +116,10 @@ def occurrences(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def units(texts: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(seed, seg, weight, shift, unit, content): segments with their words; those of hot seeds by window.
+    """(shard key, seg, weight, shift, unit, content): segments with their words; those of hot seeds by window.
 
-    ``wanted`` has (text, parts of (first, windows, seed, seg, weight, hot)): one text that holds each segment.
+    A window that a task has met twice comes without its words after that. ``wanted`` has (text, parts of
+    (first, windows, seed, seg, weight, hot)): one text that holds each segment.
     """
     held = texts.sparkSession.sparkContext.broadcast(key_filter(wanted, "text"))
 
@@ -127,8 +128,8 @@ def units(texts: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFram
             yield cut.filter(pa.array(passes(held.value, cut.column("_id").to_numpy(zero_copy_only=False)), pa.bool_()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seed", "seg", "weight", "shift", "unit", "content"]
-        for cut in W.cuts(batches, "_text"):
+        names, met = ["key", "seg", "weight", "shift", "unit", "content"], {}
+        for cut in _cuts(batches, 1):
             ends, codes, distinct = W.split(cut.column("_text"))
             words, h = np.array(distinct.to_pylist(), object)[codes], W.hashed(distinct)[codes]
             rows: list[tuple] = []
@@ -139,25 +140,28 @@ def units(texts: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFram
                     if not p["hot"]:
                         rows.append((p["seed"], p["seg"], p["weight"], 0, p["seg"], " ".join(words[start : start + n + window - 1])))
                         continue
-                    at = np.arange(start, start + n)
-                    unit = _ranges(h[start : start + n + window - 1], at - start, at - start + window).view(np.int64)
-                    rows += [(p["seed"], p["seg"], p["weight"], k, int(unit[k]), " ".join(words[start + k : start + k + window])) for k in range(n)]
+                    at = np.arange(n)
+                    for k, unit in enumerate(_ranges(h[start : start + n + window - 1], at, at + window).view(np.int64).tolist()):
+                        met[unit] = met.get(unit, 0) + 1
+                        rows.append((unit, p["seg"], p["weight"], k, unit, " ".join(words[start + k : start + k + window]) if met[unit] <= 2 else None))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()))], names
             )
 
     sifted = texts.mapInArrow(sift, "_id long, _text string")
-    found = sifted.join(wanted, sifted["_id"] == wanted["text"]).select("_text", "parts").mapInArrow(run, "seed long, seg long, weight long, shift int, unit long, content string")
-    # the same segment may come from copies of its text: once is enough
-    return found.groupBy("seed", "seg", "shift").agg(F.first("weight").alias("weight"), F.first("unit").alias("unit"), F.first("content").alias("content"))
+    found = sifted.join(wanted, sifted["_id"] == wanted["text"]).select("_id", "_text", "parts")
+    return found.mapInArrow(run, "key long, seg long, weight long, shift int, unit long, content string")
 
 
 def _shard(window: int):
     def search(group: pd.DataFrame) -> pd.DataFrame:
+        # a segment may come from several copies of its text; different segments of a window add up
+        group = group.drop_duplicates(["unit", "seg", "shift"])
+        by_unit = group.groupby("unit", sort=False).agg(weight=("weight", "sum"), content=("content", "first"))
         codes: dict[str, int] = {}
-        runs = [np.array([codes.setdefault(w, len(codes) + 1) for w in c.split(" ")], np.int64) for c in group["content"]]
-        run, start, end = Index(runs, group["weight"].to_numpy(np.int64)).repeats(window)
-        return pd.DataFrame({"unit": group["unit"].to_numpy()[run], "from": start, "to": end})
+        runs = [np.array([codes.setdefault(w, len(codes) + 1) for w in c.split(" ")], np.int64) for c in by_unit["content"]]
+        run, start, end = Index(runs, by_unit["weight"].to_numpy(np.int64)).repeats(window)
+        return pd.DataFrame({"unit": by_unit.index.to_numpy()[run], "from": start, "to": end})
 
     return search
 
@@ -171,15 +175,11 @@ def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     many = segs.groupBy("seed").agg((F.count("*") > HOT).alias("hot"))
     wanted = segs.join(many, "seed").groupBy("at.text").agg(F.collect_list(F.struct(F.col("at.first").alias("first"), F.col("at.windows").alias("windows"), "seed", "seg", "weight", "hot")).alias("parts"))
     parts = checkpoint(units(texts, checkpoint(wanted), window))
-    by_unit = parts.groupBy("unit").agg(F.sum("weight").alias("weight"), F.first("content").alias("content"), F.min("seed").alias("seed"), (F.count("*") > 1).alias("many"))
-    # windows of a hot seed are dealt by their own hash, segments by their seed
-    hot_units = parts.join(many.where("hot").select("seed"), "seed", "left_semi").select("unit").distinct().withColumn("alone", F.lit(True))
     size = parts.agg(F.sum(F.length("content")).alias("chars")).first()["chars"] or 0
     shards = max(1, -(-size // (6 * SHARD_WORDS)))
-    key = F.when(F.col("alone"), F.col("unit")).otherwise(F.col("seed"))
-    dealt = by_unit.join(hot_units, "unit", "left").withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)))
+    dealt = parts.where("content IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).drop("key")
     spans = checkpoint(dealt.groupBy("shard").applyInPandas(_shard(window), "unit long, `from` int, `to` int"))
-    covers = parts.join(spans, "unit").select("seg", (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to"))
+    covers = parts.select("seg", "shift", "unit").distinct().join(spans, "unit").select("seg", (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to"))
     per_seg = checkpoint(covers.groupBy("seg").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
     placed = found.select("seg", "text", "first").distinct().join(per_seg, "seg")
     moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("first")).alias("from"), (s["to"] + F.col("first")).alias("to")))
