@@ -128,9 +128,11 @@ def sharpe_of(total: Column, squares: Column, n: Column, periods: float) -> Colu
 
 
 def sharpe(trades: DataFrame, bars: DataFrame, keys: Sequence[str] = ("token",), periods: float = config.BARS_PER_YEAR_15M) -> DataFrame:
-    """Sharpe ratio of per-bar returns: both sides are reduced before they meet."""
+    """Sharpe ratio of per-bar returns: returns of trades that exit on one bar add up before
+    they are squared, and both sides are reduced before they meet."""
     keys = list(keys)
-    gains = trades.groupBy(*keys).agg(F.sum("ret").alias("_r"), F.sum(F.col("ret") * F.col("ret")).alias("_rr"))
+    per_bar = trades.groupBy(*keys, "exit_ts").agg(F.sum("ret").alias("ret"))
+    gains = per_bar.groupBy(*keys).agg(F.sum("ret").alias("_r"), F.sum(F.col("ret") * F.col("ret")).alias("_rr"))
     spans = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return spans.join(gains, keys, "left").select(

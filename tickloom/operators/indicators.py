@@ -19,8 +19,10 @@ def true_range(high, low, previous_close) -> Column:
 
 
 def with_true_range(bars: DataFrame, keys: Sequence[str] = ("token",), name: str = "tr") -> DataFrame:
+    keys = [*keys, OK]
     previous = F.lag("close").over(series.block_window(keys))
-    return series.halo_windowed(bars, keys, {name: true_range("high", "low", previous)}, before=1).drop(POS)
+    made = series.halo_windowed(whole_bars(bars), keys, {name: true_range("high", "low", previous)}, before=1).drop(POS)
+    return of_whole(made, name)
 
 
 def atr_normalized(atr: str | Column, close: str | Column) -> Column:
@@ -115,6 +117,28 @@ def indicator_columns(
     return df.select(*kept_columns, *[F.expr(v).alias(k) for k, v in done.items()])
 
 
+OUTPUTS = ("rsi", "atr", "adx", "adx_pos", "adx_neg")
+PRICES = ("open", "high", "low", "close", "volume")
+OK = "_whole"
+
+
+def clean_bars(bars: DataFrame) -> DataFrame:
+    """NaN prices and volumes as NULL."""
+    kinds = dict(bars.dtypes)
+    return bars.withColumns({c: nan_to_null(F.col(c)) for c in PRICES if kinds.get(c) in ("double", "float")})
+
+
+def whole_bars(bars: DataFrame) -> DataFrame:
+    """Clean bars marked whole or not. Bars without a price form a series of their own beside
+    the whole ones: they take no part in any state and get no indicator."""
+    whole = F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
+    return clean_bars(bars).withColumn(OK, whole)
+
+
+def of_whole(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(OK), F.col(c)) for c in columns}).drop(OK)
+
+
 def indicators(
     bars: DataFrame,
     rsi: int | None = None,
@@ -127,9 +151,11 @@ def indicators(
     windows = [w for w in (rsi, atr, adx) if w is not None]
     if not windows:
         raise ValueError("choose at least one of rsi, atr, adx")
-    laid, size, before, rebase = _blocks(bars, keys, windows)
+    keys = [*keys, OK]
+    laid, size, before, rebase = _blocks(whole_bars(bars), keys, windows)
     added = indicator_columns(laid, keys, size, before, rsi, atr, adx, rebase, null_head)
-    return series.own(added, POS)
+    made = [c for c in OUTPUTS if c in added.columns and c not in bars.columns]
+    return of_whole(series.own(added, POS), *made)
 
 
 def sweep(
@@ -164,7 +190,8 @@ def sweep(
         for p, size, before in rows
     )
     tfs = sorted({p["tf"] for p in params})
-    placed = series.position(bars.filter(F.col("tf").isin(tfs)), keys)
+    keys = [*keys, OK]
+    placed = series.position(whole_bars(bars.filter(F.col("tf").isin(tfs))), keys)
     fanned = placed.selectExpr("*", f"inline(filter(array({choices}), s -> s._ptf = tf))").drop("_ptf")
     laid = series.blocked(fanned, "_size", "_before")
     all_keys = [*keys, "param_id"]
@@ -174,7 +201,8 @@ def sweep(
     optional = [k for k in names if any(not p.get(k) for p in params)]
     if optional:
         added = added.withColumns({c: F.expr(f"CASE WHEN _n_{k} IS NOT NULL THEN {c} END") for k in optional for c in outputs[k]})
-    return series.own(added, POS, "_size", "_before", *[f"_n_{k}" for k in names])
+    done = series.own(added, POS, "_size", "_before", *[f"_n_{k}" for k in names])
+    return of_whole(done, *[c for k in names for c in outputs[k]])
 
 
 def lag_features(df: DataFrame, columns: Sequence[str], lags: Sequence[int] = (1, 2, 4), keys: Sequence[str] = ("token",)) -> DataFrame:

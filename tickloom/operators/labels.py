@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.config import BARRIERS, LABEL_ATR_WINDOW, LABEL_HORIZONS
 from tickloom.operators import series
-from tickloom.operators.indicators import true_range
+from tickloom.operators.indicators import OK, of_whole, true_range, whole_bars
 from tickloom.operators.series import POS
 
 # column -> (price array, comparison that counts as a touch)
@@ -23,7 +23,7 @@ def barrier_columns(atr: str | Column, close: str | Column = "close") -> dict[st
 
 def _with_barriers(bars: DataFrame, keys: Sequence[str], window: int, after: int) -> DataFrame:
     size, before = series.layout([window], lead_in=1)
-    laid = series.blocked(series.position(bars, keys), size, before, after)
+    laid = series.blocked(series.position(whole_bars(bars), keys), size, before, after)
     previous = F.lag("close").over(series.block_window(keys))
     tr = laid.withColumn("_tr", true_range("high", "low", previous))
     u = f"CASE WHEN {POS} = 0 THEN _tr ELSE _tr / {window} END"
@@ -33,7 +33,8 @@ def _with_barriers(bars: DataFrame, keys: Sequence[str], window: int, after: int
 
 def atr_barriers(bars: DataFrame, keys: Sequence[str] = ("token",), window: int = LABEL_ATR_WINDOW) -> DataFrame:
     """ATR (exponential, from the first row) and the six barriers around the close."""
-    return series.own(_with_barriers(bars, keys, window, 0), POS)
+    made = series.own(_with_barriers(bars, [*keys, OK], window, 0), POS)
+    return of_whole(made, "atr", *BARRIERS)
 
 
 def touch_time(prices: str, barrier: str | Column, above: bool) -> Column:
@@ -74,6 +75,14 @@ def labels_from_barriers(laid: DataFrame, keys: Sequence[str], horizons: dict[st
     return touched.withColumns(made).drop("_highs", "_lows", *[f"_t_{b}" for b in BARRIERS])
 
 
+def _labelled(df: DataFrame, horizons: dict[str, int]) -> DataFrame:
+    """A bar without prices has no barriers, no label and is never complete."""
+    some = [c for c in ("atr", *BARRIERS) if c in df.columns]
+    whole = F.col(OK)
+    done = {f"complete_{h}": F.col(f"complete_{h}") & whole for h in horizons}
+    return of_whole(df.withColumns(done), *some, *[f"target_{h}" for h in horizons])
+
+
 def barrier_labels(
     bars: DataFrame,
     horizons: dict[str, int] | None = None,
@@ -83,15 +92,17 @@ def barrier_labels(
     """Add ``target_h`` and ``complete_h`` for every horizon; incomplete rows are near the
     end of the series and saw a shorter future."""
     horizons = horizons or LABEL_HORIZONS
+    keys = [*keys, OK]
     laid = _with_barriers(bars, keys, window, max(horizons.values()))
-    return series.own(labels_from_barriers(laid, keys, horizons), POS)
+    return _labelled(series.own(labels_from_barriers(laid, keys, horizons), POS), horizons)
 
 
 def labels_given_barriers(bars: DataFrame, horizons: dict[str, int], keys: Sequence[str] = ("token",)) -> DataFrame:
     """Same, for bars that already carry the six barrier columns."""
     reach = max(horizons.values())
-    laid = series.blocked(series.position(bars, keys), max(4096, 16 * reach), 0, reach)
-    return series.own(labels_from_barriers(laid, keys, horizons), POS)
+    keys = [*keys, OK]
+    laid = series.blocked(series.position(whole_bars(bars), keys), max(4096, 16 * reach), 0, reach)
+    return _labelled(series.own(labels_from_barriers(laid, keys, horizons), POS), horizons)
 
 
 def training_set(features: DataFrame, labels: DataFrame, horizons: Sequence[str], keys: Sequence[str] = ("token",)) -> DataFrame:

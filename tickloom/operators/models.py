@@ -55,11 +55,11 @@ def train_and_score(df: DataFrame, target: str, numbers: Sequence[str], categori
     return labels.withColumn("prob", F.round("prob", 9))
 
 
-def score_metrics(long: DataFrame) -> DataFrame:
+def score_metrics(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Log loss, accuracy and macro F1 per part from long predictions."""
-    wide = long.groupBy("token", "ts", "split").agg(
+    wide = long.groupBy("token", "ts", "split", *by).agg(
         F.first("y").cast("int").alias("y"),
         F.first("pred").try_cast("int").alias("pred"),
         F.map_from_entries(F.collect_list(F.struct(F.col("label").try_cast("int"), "prob"))).alias("probas"),
     )
-    return class_metrics(wide, [-2, -1, 0, 1, 2], ["split"])
+    return class_metrics(wide, [-2, -1, 0, 1, 2], ["split", *by])

@@ -75,8 +75,9 @@ def own(df: DataFrame, *drop: str) -> DataFrame:
     return df.filter(OWN).drop(BLK, OWN, *drop)
 
 
-def block_window(keys: Sequence[str]):
-    return Window.partitionBy(*keys, BLK).orderBy(POS)
+def block_window(keys: Sequence[str], ts: str = "ts"):
+    """Rows of a block in order; invalid rows, which share a position, follow by time."""
+    return Window.partitionBy(*keys, BLK).orderBy(POS, ts)
 
 
 def halo_windowed(
@@ -128,9 +129,9 @@ def layout(windows: Sequence[int], lead_in: int = 2) -> tuple[int, int]:
     return (min(size, 65536) if size >= 2 * before else 8 * before), before
 
 
-def over(keys: Sequence[str], frame: str = "", more: str = "") -> str:
+def over(keys: Sequence[str], frame: str = "", more: str = "", ts: str = "ts") -> str:
     """SQL window clause of a block."""
-    return f"OVER (PARTITION BY {', '.join([*keys, BLK])}{more} ORDER BY {POS} {frame})"
+    return f"OVER (PARTITION BY {', '.join([*keys, BLK])}{more} ORDER BY {POS}, {ts} {frame})"
 
 
 RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"

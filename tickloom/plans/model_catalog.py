@@ -97,12 +97,12 @@ def label_counts(spark, sf):
 
 
 @query(
-    labelled({"feats": "SELECT token, ts, close - open AS body, high - low AS span FROM bars_1h WHERE volume > 1"})
+    labelled({"feats": "SELECT token, ts, close - open AS body, high - low AS span FROM bars_1h"})
     + "SELECT token, ts, round(body, 6) AS body, round(span, 6) AS span, target_4h FROM feats JOIN lab USING (token, ts)"
 )
 def features_labels(spark, sf):
     b = V.bars_1h(spark, sf)
-    feats = b.filter("volume > 1").select("token", "ts", (F.col("close") - F.col("open")).alias("body"), (F.col("high") - F.col("low")).alias("span"))
+    feats = b.select("token", "ts", (F.col("close") - F.col("open")).alias("body"), (F.col("high") - F.col("low")).alias("span"))
     made = L.barrier_labels(b).select("token", "ts", "target_4h")
     return out(feats.join(made, ["token", "ts"]).select("token", "ts", r("body"), r("span"), "target_4h"))
 
@@ -306,17 +306,22 @@ def max_drawdown(spark, sf):
 
 @query(
     with_views("bars_1h", "closed")
-    + """, t AS (SELECT token, sum(x) AS s, sum(x * x) AS q FROM (SELECT CASE token WHEN 'A' THEN 'click' WHEN 'N' THEN 'view' ELSE 'error' END AS token,
-    pnl_usd / (entry_price * position_size) AS x FROM closed) GROUP BY 1), n AS (SELECT token, count(*)::DOUBLE * 100 AS n FROM bars_1h GROUP BY 1)
-    SELECT token, round(coalesce(s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(35040), 0), 6) AS sharpe FROM n LEFT JOIN t USING (token)"""
+    + """, t AS (SELECT CASE token WHEN 'A' THEN 'click' WHEN 'N' THEN 'view' ELSE 'error' END AS token,
+    TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (trade_no % 720) AS ts, pnl_usd / (entry_price * position_size) AS x FROM closed),
+    b AS (SELECT token, ts, coalesce(sum(x), 0) AS x FROM bars_1h LEFT JOIN t USING (token, ts) GROUP BY 1, 2)
+    SELECT token, round(coalesce(avg(x) / nullif(stddev_samp(x), 0) * sqrt(35040), 0), 6) AS sharpe FROM b GROUP BY 1"""
 )
 def sharpe(spark, sf):
+    """Returns of closed trades spread over the hours of the bars: several exits fall on one bar."""
+    hour = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + 3600 * (F.col("trade_no") % 720))
     c = closed(spark, sf).select(
         F.when(F.col("token") == "A", "click").when(F.col("token") == "N", "view").otherwise("error").alias("token"),
+        hour.alias("exit_ts"),
         (F.col("pnl_usd") / (F.col("entry_price") * F.col("position_size"))).alias("ret"),
     )
-    periods = V.bars_1h(spark, sf).withColumn("_p", F.explode(F.sequence(F.lit(1), F.lit(100))))
-    return K.sharpe(c, periods).select("token", r("sharpe"))
+    bars = V.bars_1h(spark, sf)
+    exits = c.join(bars.select("token", F.col("ts").alias("exit_ts")), ["token", "exit_ts"], "left_semi")
+    return K.sharpe(exits, bars).select("token", r("sharpe"))
 
 
 @query(

@@ -23,20 +23,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "econ_events": (
         (),
-        "SELECT ts, CASE WHEN event_id % 2 = 0 THEN 'High ' ELSE 'low' END AS impact FROM events WHERE event_type = 'error' AND value > 200",
-    ),
-    "lines": (
-        (),
-        """SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-        ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) = 1""",
+        "SELECT ts, CASE WHEN event_id % 2 = 0 THEN 'High ' ELSE 'low' END AS impact FROM events WHERE event_type = 'error'",
     ),
     "trades": (
-        ("lines",),
-        """SELECT l_orderkey * 10 + l_linenumber AS trade_id, o_custkey AS account, l_returnflag AS token,
+        (),
+        """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT) AS trade_id, l_orderkey * 10 + l_linenumber AS trade_no, o_custkey AS account, l_returnflag AS token,
         CASE WHEN l_linestatus = 'F' THEN 'long' ELSE 'short' END AS direction, l_extendedprice / l_quantity AS entry_price,
         l_quantity AS position_size, l_extendedprice / l_quantity * (1 + l_tax - l_discount) AS exit_price, l_tax * 10 AS fees,
         o_orderdate AS entry_ts, CASE WHEN l_shipdate >= o_orderdate THEN l_shipdate END AS exit_ts, l_orderkey AS signal_id
-        FROM lines JOIN orders ON l_orderkey = o_orderkey""",
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     ),
     "closed": (
         ("trades",),

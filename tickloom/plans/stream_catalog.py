@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from tickloom.config import EVENT_FLAG
 from tickloom.operators import labels as L, models as ML, store
 from tickloom.plans import bars_catalog as BC, features as feature_plan, trade_catalog
 from tickloom.plans.sql import with_views
-from tickloom.session import shared_dir
+from tickloom.session import checkpoint, shared_dir
 from tickloom.sources import views as V
 from tickloom.sources.tables import out
 from tickloom.streaming import market as R
@@ -118,19 +120,28 @@ def live_signals(spark, sf):
 # ------------------------------------------------------------------ models
 
 
-def _training(spark, sf):
+HORIZONS = {"1h": 4, "4h": 16}
+
+
+def _scores(spark, sf):
+    """One model per horizon on all features and the event flag, every token and bar."""
     bars = V.bars(spark, sf)
-    features = feature_plan.feature_table(bars, None, V.WINDOWS, V.HORIZON_ROLES).filter("horizon = '4h'")
-    labels = L.barrier_labels(V.bars_1h(spark, sf), {"4h": 16}).filter("complete_4h")
-    return features.join(labels.select("token", "ts", "target_4h"), ["token", "ts"])
+    features = feature_plan.feature_table(bars, V.econ_events(spark, sf), V.WINDOWS, V.HORIZON_ROLES)
+    labels = L.barrier_labels(V.bars_1h(spark, sf), HORIZONS)
+    whole = checkpoint(L.training_set(features, labels, list(HORIZONS)).withColumn(EVENT_FLAG, F.col(EVENT_FLAG).cast("double")))
+    made = [
+        ML.train_and_score(whole.filter(F.col("horizon") == h).drop("horizon"), "target", [*BC.FEATURES, EVENT_FLAG], ["token"]).withColumn("horizon", F.lit(h))
+        for h in HORIZONS
+    ]
+    return reduce(DataFrame.unionByName, made)
 
 
 @query()
 def train_score(spark, sf):
-    """Weighted multiclass fit on the train part, probabilities on the rest."""
-    return out(ML.train_and_score(_training(spark, sf), "target_4h", BC.FEATURES[:12], ["token"]))
+    """Weighted multiclass fit on the train part, probabilities on the rest, for all horizons."""
+    return out(_scores(spark, sf))
 
 
 @query()
 def model_metrics(spark, sf):
-    return ML.score_metrics(ML.train_and_score(_training(spark, sf), "target_4h", BC.FEATURES[:12], ["token"]))
+    return ML.score_metrics(_scores(spark, sf), ["horizon"])

@@ -394,11 +394,11 @@ def export_without_empty(spark, sf):
 
 
 @query(
-    """SELECT 1 AS part, o_orderkey AS id, o_totalprice AS amount FROM orders WHERE o_totalprice > 200000
+    """SELECT 1 AS part, o_orderkey AS id, o_totalprice AS amount FROM orders
     UNION ALL SELECT 2, c_custkey, c_acctbal FROM customer UNION ALL SELECT 3, s_suppkey, s_acctbal FROM supplier"""
 )
 def union_frames(spark, sf):
-    o = table(spark, sf, "orders").filter("o_totalprice > 200000").select(F.lit(1).alias("part"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), "o_orderpriority")
+    o = table(spark, sf, "orders").select(F.lit(1).alias("part"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"), "o_orderpriority")
     c = table(spark, sf, "customer").select(F.lit(2).alias("part"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount"), "c_name")
     s = table(spark, sf, "supplier").select(F.lit(3).alias("part"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("amount"))
     return store.union_common([o, c, s])
@@ -563,18 +563,18 @@ def _position_rows(spark, sf):
         F.col("account").cast("string").alias("account_name"),
         "token",
         "direction",
-        F.when(F.col("trade_id") % 8 == 0, "bad").otherwise(F.col("position_size").cast("string")).alias("position_size"),
+        F.when(F.col("trade_no") % 8 == 0, "bad").otherwise(F.col("position_size").cast("string")).alias("position_size"),
         "entry_price",
         F.unix_millis("entry_ts").alias("entry_timestamp"),
         (F.col("entry_price") * 0.5).alias("virtual_stop_loss"),
-        F.when(F.col("trade_id") % 9 > 0, F.col("entry_price") * 2).alias("virtual_take_profit"),
+        F.when(F.col("trade_no") % 9 > 0, F.col("entry_price") * 2).alias("virtual_take_profit"),
     )
 
 
 @query(
     with_views("trades")
     + """SELECT account::VARCHAR AS account, token, direction, position_size, entry_price, epoch_us(entry_ts) // 1000 AS entry_time,
-    entry_price * 0.5 AS stop_loss, entry_price * 2 AS take_profit FROM trades WHERE exit_ts IS NULL AND trade_id % 8 > 0 AND trade_id % 9 > 0"""
+    entry_price * 0.5 AS stop_loss, entry_price * 2 AS take_profit FROM trades WHERE exit_ts IS NULL AND trade_no % 8 > 0 AND trade_no % 9 > 0"""
 )
 def open_positions(spark, sf):
     return T.open_positions(_position_rows(spark, sf))
@@ -619,7 +619,7 @@ def signal_precision_recall(spark, sf):
     with_views("closed", extra={"n": "SELECT *, pnl_usd - fees AS net FROM closed"})
     + f""", k AS (SELECT {KPI} FROM n), b AS (SELECT sum(c_acctbal) AS t FROM customer),
     p AS (SELECT account::VARCHAR AS account, token, direction, position_size, entry_price, epoch_us(entry_ts) // 1000 AS entry_time FROM trades
-        WHERE exit_ts IS NULL AND trade_id % 8 > 0 AND trade_id % 9 > 0),
+        WHERE exit_ts IS NULL AND trade_no % 8 > 0 AND trade_no % 9 > 0),
     f AS (SELECT *, row_number() OVER (ORDER BY account, token, entry_time, direction, position_size, entry_price) AS line FROM p)
     SELECT 'title' AS section, 1::INTEGER AS line, 'Weekly PnL Summary' AS text
     UNION ALL SELECT 'kpi', 1, 'P/L: $' || format('{{:,.2f}}', net_pl_usd) || ' (' || format('{{:.2f}}', avg_pl_pct) || '%)' FROM k

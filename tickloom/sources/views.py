@@ -38,24 +38,22 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def econ_events(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").filter((F.col("event_type") == "error") & (F.col("value") > 200))
+    e = table(spark, sf, "events").filter(F.col("event_type") == "error")
     return e.select("ts", F.when(F.col("event_id") % 2 == 0, "High ").otherwise("low").alias("impact"))
 
 
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
 def trades(spark: SparkSession, sf: str) -> DataFrame:
-    """One trade per line of an order; repeated line numbers keep the smallest part."""
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min(
-            F.struct(
-                "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"
-            )
-        ).alias("l")
-    ).select("l_orderkey", "l_linenumber", "l.*")
+    """One trade per line of an order, known by the line's key columns."""
+    lines = table(spark, sf, "lineitem")
     o = table(spark, sf, "orders")
     entry = F.col("l_extendedprice") / F.col("l_quantity")
     exit_ts = F.when(F.col("l_shipdate") >= F.col("o_orderdate"), F.col("l_shipdate"))
     return lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"),
+        F.concat_ws("-", *[F.col(c).cast("bigint").cast("string") for c in LINE_KEY]).alias("trade_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_no"),
         F.col("o_custkey").alias("account"),
         F.col("l_returnflag").alias("token"),
         F.when(F.col("l_linestatus") == "F", "long").otherwise("short").alias("direction"),
