@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.llm import words as W
+from tickloom.llm.sampling import fewest
 from tickloom.session import checkpoint
 
 SAMPLE = 2000
@@ -64,7 +65,7 @@ class Model:
 def train(labelled: DataFrame, label: str = "lang", text: str = "text", most: int = SAMPLE) -> Model:
     """From at most ``most`` labelled texts, those of smallest hash; the counts are summed by Spark."""
     few = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("_text")).where("label IS NOT NULL AND length(_text) > 0")
-    few = few.orderBy(F.xxhash64("_text", "label"), "_text", "label").limit(most)
+    few = fewest(few, most, "label", "_text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

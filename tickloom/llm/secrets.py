@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tickloom.llm.sampling import fewest
+
 SAMPLE = 2000
 LEAST_TOKEN = 20
 LEAST_RATIO = 1.0  # nats per transition
@@ -69,7 +71,7 @@ def _text(spans: Column) -> Column:
 
 def samples(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> DataFrame:
     """(label, sample) from at most ``most`` documents: 1 for random strings, 0 for ordinary identifiers."""
-    few = docs.select(F.col(text).alias("_text")).where(F.length("_text") > 0).orderBy(F.xxhash64("_text"), "_text").limit(most)
+    few = fewest(docs.select(F.col(text).cast("string").alias("_text")).where(F.length("_text") > 0), most, "_text")
     words = few.select(F.regexp_extract_all("_text", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
     # whole sample texts, in runs of three words
     runs = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0)), F.lit(3)), lambda i: F.slice("w", i + 1, 3))).alias("w")).where(F.size("w") == 3)
