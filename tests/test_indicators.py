@@ -115,3 +115,47 @@ def test_atr_normalized_vector(frame):
     df = frame(list(zip([1.0, 2.0, 3.0, 4.0], [10.0, 20.0, 40.0, 80.0])), "atr double, close double")
     got = [r[0] for r in df.orderBy("atr").select(I.atr_normalized("atr", "close")).collect()]
     assert np.allclose(got, [a / (c + 1e-9) * 100 for a, c in zip([1, 2, 3, 4], [10, 20, 40, 80])])
+
+
+def test_missing_values_with_many_partitions(spark):
+    """Half of the values missing, no coalescing of partitions: the carried mean is exact."""
+    import datetime as dt
+    import random
+
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = [("k", start + dt.timedelta(hours=i), None if rng.random() < 0.5 else (float("nan") if rng.random() < 0.05 else rng.uniform(1, 9))) for i in range(6000)]
+    want, mean = {}, None
+    for _, ts, x in rows:
+        if x is not None and x == x:
+            mean = x if mean is None else mean * 6 / 7 + x / 7
+        want[ts] = mean
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.ts: r.ewm for r in I.ewm(spark.createDataFrame(rows, "token string, ts timestamp, close double").repartition(7), "close", 7).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    for ts, x in want.items():
+        assert (got[ts] is None) if x is None else abs(got[ts] - x) < 1e-8
+
+
+def test_nan_bars_leave_later_bars_alone(spark):
+    import datetime as dt
+    import random
+
+    rng, start = random.Random(6), dt.datetime(2024, 1, 1)
+    bars = []
+    for i in range(1000):
+        low = rng.uniform(10, 20)
+        bars.append(("k", start + dt.timedelta(hours=i), low, low + 2, low, low + 1.0, 1.0))
+    schema = "token string, ts timestamp, open double, high double, low double, close double, volume double"
+    without = {r.ts: r for r in I.indicators(spark.createDataFrame(bars[:100] + bars[101:], schema), rsi=14, atr=14, adx=14).collect()}
+    nan = float("nan")
+    gappy = bars[:100] + [("k", bars[100][1], nan, nan, nan, nan, nan)] + bars[101:]
+    for r in I.indicators(spark.createDataFrame(gappy, schema), rsi=14, atr=14, adx=14).collect():
+        if r.ts == bars[100][1]:
+            assert (r.rsi, r.atr, r.adx) == (None, None, None)
+        else:
+            assert (r.rsi, r.atr, r.adx) == (without[r.ts].rsi, without[r.ts].atr, without[r.ts].adx)

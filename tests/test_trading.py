@@ -95,8 +95,16 @@ def test_upsert_is_change_only_and_idempotent(spark, frame, tmp_path):
         store.upsert_table(spark, path, batch, ["token", "ts"], "month")
         now = sorted((r.token, r.close) for r in spark.read.parquet(path).collect())
         assert now == [("a", 1.0), ("b", 2.5), ("c", 3.0), ("d", 4.0)]
+    assert not [p for p in tmp_path.iterdir() if "staging" in p.name]
     with pytest.raises(ValueError):
         store.upsert(target, batch, [])
+    # duplicate keys need an order; with one the last of them wins, whatever its values
+    twice = frame([("b", 1, 9.0, 1), ("b", 1, 2.0, 2)], "token string, ts long, close double, seq int")
+    with pytest.raises(Exception, match="duplicate keys"):
+        store.upsert(target, twice, ["token", "ts"]).collect()
+    assert {r.token: r.close for r in store.upsert(target, twice, ["token", "ts"], ["seq"]).collect()}["b"] == 2.0
+    plan = store.touched_partitions(spark.read.parquet(path), batch, "month")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan or "PartitionFilters: [(month" in plan
 
 
 def test_bar_table_round_trip_and_export(spark, frame, tmp_path):

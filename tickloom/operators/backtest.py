@@ -80,9 +80,10 @@ def select_trades(candidates: DataFrame, keys: Sequence[str] = ("token",)) -> Da
     after = candidates.filter(F.col("exit_pos").isNotNull()).select(*keys, F.col("signal_pos").alias("i"), (F.col("exit_pos") + 1).alias("at"))
     linked = asof_join(after, {"nx": spots.select(*keys, F.col("i").alias("at"), "i")}, keys, on="at", direction="forward", chunk=4096)
     jumps = checkpoint(linked.select(*keys, "i", F.col("nx")["i"].alias("n")).filter(F.col("n").isNotNull()))
+    # every round adds a table of new links; none is written twice
     chain = spots.groupBy(*keys).agg(F.min("i").alias("i"))
     while not jumps.isEmpty():
-        chain = checkpoint(chain.unionByName(chain.join(jumps, [*keys, "i"]).select(*keys, F.col("n").alias("i"))))
+        chain = chain.unionByName(checkpoint(chain.join(jumps, [*keys, "i"]).select(*keys, F.col("n").alias("i"))))
         onward = jumps.select(*keys, F.col("i").alias("n"), F.col("n").alias("n2"))
         jumps = checkpoint(jumps.join(onward, [*keys, "n"]).select(*keys, "i", F.col("n2").alias("n")))
     return candidates.join(chain.withColumnRenamed("i", "signal_pos"), [*keys, "signal_pos"], "left_semi")

@@ -136,3 +136,22 @@ def latest_n(bars: DataFrame, n: int = 200, keys: Sequence[str] = ("token", "tf"
 def dedupe_last(df: DataFrame, keys: Sequence[str] = ("token", "ts"), order: Sequence[str] = ("seq",)) -> DataFrame:
     """Keep the last row of every key; rank 1 is limited map-side before the shuffle."""
     return latest_n(df, 1, keys, order)
+
+
+def forward_fill(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("token",), ts: str = "ts", chunk_seconds: int = series.WEEK
+) -> DataFrame:
+    """Missing values take the last known one of the key, however far back.
+
+    Rows look back inside their (key, calendar chunk); what lies before comes from one row
+    per chunk that carries the last known values on.
+    """
+    keys = list(keys)
+    marked = df.withColumn(series.CHUNK, series.chunk_id(ts, chunk_seconds))
+    newest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_end_{c}") for c in columns]
+    ends = marked.groupBy(*keys, series.CHUNK).agg(*newest)
+    earlier = Window.partitionBy(*keys).orderBy(series.CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, series.CHUNK, *[F.last(f"_end_{c}", True).over(earlier).alias(f"_old_{c}") for c in columns])
+    inside = Window.partitionBy(*keys, series.CHUNK).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    filled = {c: F.coalesce(F.last(c, True).over(inside), F.col(f"_old_{c}")) for c in columns}
+    return marked.join(carried, [*keys, series.CHUNK]).withColumns(filled).drop(series.CHUNK, *[f"_old_{c}" for c in columns])

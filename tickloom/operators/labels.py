@@ -117,3 +117,14 @@ def training_set(features: DataFrame, labels: DataFrame, horizons: Sequence[str]
         F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"target_{h}").alias("target")) for h in horizons])).alias("l"),
     ).select(*keys, "ts", "l.*")
     return features.join(long, ["horizon", *keys, "ts"])
+
+
+def first_touch(bars: DataFrame, levels: dict[str, bool], steps: int, keys: Sequence[str] = ("token",)) -> DataFrame:
+    """Add ``t_<level>`` for every level column: in how many bars, up to ``steps``, a high
+    reaches it (``True``) or a low falls to it (``False``); NULL if none does."""
+    keys = [*keys, OK]
+    laid = series.blocked(series.position(whole_bars(bars), keys), max(4096, 16 * steps), 0, steps)
+    ahead = series.block_window(keys).rowsBetween(1, steps)
+    arrays = laid.withColumns({"_highs": F.collect_list("high").over(ahead), "_lows": F.collect_list("low").over(ahead)})
+    found = {f"t_{c}": touch_time("_highs" if above else "_lows", c, above) for c, above in levels.items()}
+    return of_whole(series.own(arrays, POS).withColumns(found).drop("_highs", "_lows"), *found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -67,12 +69,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def upsert(
-    target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
+    target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None
 ) -> DataFrame:
     """Target after the upsert, with ``action`` insert, update or unchanged.
 
     Unknown update columns are ignored; a row counts as updated only if a value differs
-    (NULL-safe). Of duplicate keys in a batch the last by ``order`` wins.
+    (NULL-safe). Of duplicate keys in a batch the last by ``order`` wins; without an order
+    duplicate keys are an error, raised when the result is computed.
     """
     keys = list(keys)
     if not keys:
@@ -81,9 +84,13 @@ def upsert(
     if missing:
         raise ValueError(f"key columns missing: {missing}")
     known = [c for c in updates.columns if c in target.columns and c not in keys]
-    batch = dedupe_last(updates, keys, order or known or keys).select(
-        *keys, *[F.col(c).alias(f"_u_{c}") for c in known], F.lit(True).alias("_in_batch")
-    )
+    if order:
+        batch = dedupe_last(updates, keys, order).withColumn("_in_batch", F.lit(True))
+    else:
+        twice = F.raise_error(F.lit(f"duplicate keys {keys} in the batch: give an order"))
+        batch = updates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in known])
+        batch = batch.withColumn("_in_batch", F.when(F.col("_rows") > 1, twice.cast("boolean")).otherwise(F.lit(True)))
+    batch = batch.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in known], "_in_batch")
     joined = target.withColumn("_stored", F.lit(True)).join(batch, keys, "full_outer")
     same = F.lit(True)
     for c in known:
@@ -97,15 +104,24 @@ def upsert(
     return joined.select(*keys, *values, action.alias("action"))
 
 
-def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], partition: str) -> None:
+def touched_partitions(stored: DataFrame, updates: DataFrame, partition: str, most: int = 10_000) -> DataFrame:
+    """The stored rows of the batch's partitions, as a filter the scan prunes by. A batch
+    over more than ``most`` partitions is an error, so the list stays bounded."""
+    found = [r[0] for r in updates.select(partition).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"the batch touches more than {most} partitions of {partition}")
+    inside = F.col(partition).isin([v for v in found if v is not None])
+    return stored.filter(inside | F.col(partition).isNull() if None in found else inside)
+
+
+def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], partition: str, order: Sequence[str] | None = None) -> None:
     """Merge a batch into a stored table: only the partitions the batch touches are read and
     replaced. The merged rows are written beside the table first, because a job cannot
-    overwrite the files it reads."""
+    overwrite the files it reads; every call has a staging folder of its own and removes it."""
     stored = spark.read.parquet(path)
-    touched = updates.select(partition).distinct()
-    current = stored.join(touched, partition, "left_semi")
-    merged = upsert(current, updates, keys).drop("action").select(*stored.columns)
-    staging = f"{path.rstrip('/')}_staging"
+    current = touched_partitions(stored, updates, partition)
+    merged = upsert(current, updates, keys, order).drop("action").select(*stored.columns)
+    staging = f"{path.rstrip('/')}_staging-{uuid.uuid4().hex}"
     merged.write.mode("overwrite").partitionBy(partition).parquet(staging)
     (
         spark.read.schema(stored.schema)
@@ -115,6 +131,8 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Seque
         .partitionBy(partition)
         .parquet(path)
     )
+    place = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 # ------------------------------------------------------------------ retention

@@ -156,6 +156,50 @@ def ewm_wilder(spark, sf):
     return out(I.ewm(V.bars_1h(spark, sf), "close", 14, min_periods=14).select("token", "ts", r("ewm")))
 
 
+# bars with missing and NaN prices; the sequential twins walk over the whole ones
+GAPPY = """SELECT token, ts, open, CASE WHEN hour(ts) % 7 = 3 THEN NULL WHEN hour(ts) % 11 = 5 THEN 'NaN'::DOUBLE ELSE high END AS high, low,
+    CASE WHEN (epoch(ts) // 3600)::BIGINT % 5 < 2 THEN NULL WHEN hour(ts) % 13 = 4 THEN 'NaN'::DOUBLE ELSE close END AS close, volume FROM bars_1h"""
+WHOLE = "high IS NOT NULL AND NOT isnan(high) AND close IS NOT NULL AND NOT isnan(close)"
+
+
+def bars_with_gaps(spark, sf):
+    b, nan = V.bars_1h(spark, sf), F.lit(float("nan"))
+    hour = F.hour("ts")
+    high = F.when(hour % 7 == 3, None).when(hour % 11 == 5, nan).otherwise(F.col("high"))
+    close = F.when(F.floor(F.unix_seconds("ts") / 3600) % 5 < 2, None).when(hour % 13 == 4, nan).otherwise(F.col("close"))
+    return b.withColumns({"high": high, "close": close})
+
+
+@query(
+    with_views("bars_1h", recursive=True, extra={
+        "gappy": GAPPY,
+        "num": "SELECT *, row_number() OVER (PARTITION BY token ORDER BY ts) - 1 AS i FROM gappy WHERE close IS NOT NULL AND NOT isnan(close)",
+        "ew": ewm_view("num", "close", 14),
+        "placed": "SELECT gappy.token, gappy.ts, num.i, ewm FROM gappy LEFT JOIN num USING (token, ts) LEFT JOIN ew ON ew.token = num.token AND ew.i = num.i",
+    })
+    + """, f AS (SELECT token, ts, last_value(i IGNORE NULLS) OVER w AS i, last_value(ewm IGNORE NULLS) OVER w AS ewm FROM placed
+    WINDOW w AS (PARTITION BY token ORDER BY ts ROWS UNBOUNDED PRECEDING)) SELECT token, ts, CASE WHEN i >= 4 THEN round(ewm, 6) END AS ewm FROM f"""
+)
+def ewm_gaps(spark, sf):
+    """A missing value carries the mean on."""
+    return out(I.ewm(bars_with_gaps(spark, sf), "close", 14, min_periods=5).select("token", "ts", r("ewm")))
+
+
+@query(
+    with_views("bars_1h", recursive=True, extra={
+        "gappy": GAPPY,
+        "src": f"SELECT token, 'x' AS grp, 14 AS nr, 14 AS na, 14 AS nd, ts, open, high, low, close, volume FROM gappy WHERE {WHOLE}",
+        **indicator_views("src"),
+    })
+    + """SELECT token, ts, round(rsi, 6) AS rsi, round(atr, 6) AS atr, round(adx, 6) AS adx, round(adx_pos, 6) AS adx_pos, round(adx_neg, 6) AS adx_neg
+    FROM gappy LEFT JOIN (SELECT token, ts, rsi, atr, adx, adx_pos, adx_neg FROM ind) USING (token, ts)"""
+)
+def indicators_gaps(spark, sf):
+    """Bars without a price get no indicator and leave those of later bars alone."""
+    made = I.indicators(bars_with_gaps(spark, sf), rsi=14, atr=14, adx=14)
+    return out(made.select("token", "ts", *[r(c) for c in ("rsi", "atr", "adx", "adx_pos", "adx_neg")]))
+
+
 @query(with_views("bars_1h", extra={"num": NUMBERED, "trs": TRUE_RANGE}) + "SELECT token, ts, round(tr, 6) AS tr FROM trs")
 def true_range(spark, sf):
     return out(I.with_true_range(V.bars_1h(spark, sf)).select("token", "ts", r("tr")))
@@ -223,8 +267,7 @@ def lag_features(spark, sf):
 )
 def forward_fill(spark, sf):
     s = V.bars_1h(spark, sf).select("token", "ts", F.when(F.col("volume") > 3, F.col("close")).alias("v"))
-    known = s.filter(F.col("v").isNotNull())
-    return out(asof.asof_join(s.select("token", "ts"), {"k": known}).select("token", "ts", F.col("k.v").alias("filled")))
+    return out(B.forward_fill(s, ["v"]).withColumnRenamed("v", "filled"))
 
 
 # ------------------------------------------------------------------ time features

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom import config
 from tickloom.functions.temporal import cyclical_time, with_session_features
 from tickloom.operators.asof import asof_rows, event_flag
+from tickloom.operators.bars import dedupe_last
 from tickloom.operators.indicators import atr_normalized, sweep
 from tickloom.operators.series import WEEK
 from tickloom.operators.store import widen
@@ -86,7 +87,5 @@ def feature_table(
 
 
 def latest_features(features: DataFrame, keys: Sequence[str] = ("horizon", "token")) -> DataFrame:
-    """The newest row per key. The newest time comes from a hash aggregate and joins back
-    as an equi join; no series is sorted."""
-    newest = features.groupBy(*keys).agg(F.max("ts").alias("ts"))
-    return features.join(newest, [*keys, "ts"], "left_semi")
+    """The newest row per key in one pass: every task ships one row per key."""
+    return dedupe_last(features, keys, ["ts"])

@@ -69,14 +69,9 @@ def atr_barriers(spark, sf):
 
 @query(labelled() + "SELECT token, ts, NULLIF(t_barrier_bull, 1000000)::DOUBLE AS up_steps, NULLIF(t_barrier_bear, 1000000)::DOUBLE AS down_steps FROM tou")
 def first_touch(spark, sf):
-    laid = L._with_barriers(V.bars_1h(spark, sf), ["token"], 14, 32)
-    ahead = L.series.block_window(["token"]).rowsBetween(1, 32)
-    arrays = laid.withColumns({"_highs": F.collect_list("high").over(ahead), "_lows": F.collect_list("low").over(ahead)}).filter(L.series.OWN)
-    return out(
-        arrays.select(
-            "token", "ts", L.touch_time("_highs", "barrier_bull", True).cast("double").alias("up_steps"), L.touch_time("_lows", "barrier_bear", False).cast("double").alias("down_steps")
-        )
-    )
+    made = L.first_touch(L.atr_barriers(V.bars_1h(spark, sf)), {"barrier_bull": True, "barrier_bear": False}, 32)
+    steps = [F.col(f"t_{b}").cast("double").alias(f"{n}_steps") for b, n in (("barrier_bull", "up"), ("barrier_bear", "down"))]
+    return out(made.select("token", "ts", *steps))
 
 
 @query(labelled() + "SELECT * FROM lab")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.config import EVENT_FLAG
-from tickloom.operators import labels as L, models as ML, store
+from tickloom.config import EVENT_FLAG, TIMEFRAMES
+from tickloom.operators import labels as L, models as ML
 from tickloom.plans import bars_catalog as BC, features as feature_plan, trade_catalog
 from tickloom.plans.sql import with_views
 from tickloom.session import checkpoint, shared_dir
@@ -64,21 +65,25 @@ def stream_bars(spark, sf):
 
 
 @query(
-    with_views("bars_1h", "bars_4h")
-    + "SELECT token, '4h' AS tf, ts_ AS ts, open, high, low, close, volume FROM bars_4h WHERE "
-    + CLOSED.format(t="ts_", s=14400, d=60)
+    with_views("bars_1h", "bars_4h", "bars_1d", "bars_7d")
+    + " UNION ALL ".join(
+        f"SELECT token, '{tf}' AS tf, ts_ AS ts, open, high, low, close, volume FROM bars_{tf} WHERE " + CLOSED.format(t="ts_", s=TIMEFRAMES[tf], d=60) for tf in ("4h", "1d", "7d")
+    )
 )
 def stream_resample(spark, sf):
-    hourly = R.stream_bars(_ticks(spark, sf), 3600)
-    made = _run(spark, "resample", R.stream_resample(hourly, "4h"))
-    return out(made.drop("batch"))
+    """Every coarser timeframe from one stream of hourly bars."""
+    folder = _folder(spark, "resample")
+    hourly = R.stream_bars(_ticks(spark, sf), 3600).drop("_w")
+    R.start(hourly, R.cascade_sink(folder, ["4h", "1d", "7d"], 3600), f"{folder}/state").awaitTermination()
+    return out(spark.read.parquet(f"{folder}/rows").drop("batch"))
 
 
-@query()
+@query(trade_catalog.ORACLES["position_triggers"])
 def stream_triggers(spark, sf):
-    updates = _run(spark, "triggers", R.stream_triggers(_ticks(spark, sf), V.positions(spark, sf)), "update")
-    newest = store.dedupe_last(updates, ["position_id"], ["batch"])
-    return out(newest.select("position_id", "token", "direction", "trigger_ts", "trigger_price", "reason"))
+    """Ticks arrive as a stream; half of the positions are opened while it runs."""
+    folder = _folder(spark, "triggers")
+    R.start(_ticks(spark, sf), R.trigger_sink(lambda s: V.positions(s, sf), f"{folder}/rows"), f"{folder}/state").awaitTermination()
+    return out(spark.read.parquet(f"{folder}/rows").drop("batch"))
 
 
 @query()
@@ -93,7 +98,6 @@ def stream_upsert(spark, sf):
     return out(spark.read.parquet(f"{folder}/table").drop("month"))
 
 
-ORACLES["stream_triggers"] = trade_catalog.ORACLES["position_triggers"]
 ORACLES["stream_upsert"] = (
     with_views("bars_1h")
     + f"SELECT token, ts, open, high, low, close, CASE WHEN {CLOSED.format(t='ts', s=3600, d=60)} THEN volume ELSE 0.0::DOUBLE END AS volume FROM bars_1h WHERE ts < TIMESTAMP '2024-01-20' OR "
@@ -101,9 +105,28 @@ ORACLES["stream_upsert"] = (
 )
 
 
-@query()
+def _apart(views: dict[str, str], mark: str) -> dict[str, str]:
+    """The same views under other names, so that two sets of them fit in one statement."""
+    names = re.compile(rf"\b({'|'.join(views)})\b(?!\.)")
+    return {mark + k: names.sub(rf"{mark}\1", v) for k, v in views.items()}
+
+
+ATR_VIEWS = _apart({k: v for k, v in trade_catalog.TP_VIEWS.items() if k in ("src", "num", "stp", "run", "dxs", "adr", "ind", "known")}, "q_")
+
+
+@query(
+    with_views("bars", "econ_events", "bars_4h", recursive=True, extra={**BC.FT_VIEWS, **ATR_VIEWS})
+    + ", f AS (SELECT token, ts, arg_min(rsi_15m, horizon) AS rsi FROM ft_wide WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in BC.FT_NUMBERS)
+    + """ GROUP BY 1, 2), d AS (SELECT f.token, f.ts, CASE WHEN rsi > 50 THEN 'OPEN_LONG' ELSE 'OPEN_SHORT' END AS directive, b.close AS entry_price FROM f JOIN bars_1h b USING (token, ts)),
+    j AS (SELECT d.*, k.atr, CASE WHEN k.atr > 0 THEN k.atr * 2.5 ELSE entry_price * 0.02::DOUBLE END AS dist FROM d ASOF LEFT JOIN q_known k ON k.token = d.token AND d.ts >= k.ts),
+    p AS (SELECT *, CASE WHEN directive = 'OPEN_LONG' THEN greatest(0, entry_price - dist) ELSE entry_price + dist END AS stop_loss FROM j),
+    z AS (SELECT *, least(20000, 10000.0::DOUBLE * 0.01::DOUBLE * entry_price * 5 / nullif(abs(entry_price - stop_loss), 0)) / entry_price AS size FROM p)
+    SELECT token, ts, directive, entry_price, round(atr, 5) AS atr, round(stop_loss, 5) AS stop_loss, round(size, 5) AS size FROM z WHERE size > 0 AND """
+    + CLOSED.format(t="ts", s=3600, d=60)
+)
 def live_signals(spark, sf):
-    """Every drained bar batch runs the live cycle on its tokens' stored history."""
+    """Every closed bar of every drained batch runs the live cycle on the stored history."""
     folder = _folder(spark, "live")
     V.bars(spark, sf).write.parquet(f"{folder}/bars")
     label = F.when(F.col("rsi_15m") > 50, "OPEN_LONG").otherwise("OPEN_SHORT")
@@ -114,7 +137,8 @@ def live_signals(spark, sf):
     cycle = R.live_cycle(lambda s: s.read.parquet(f"{folder}/bars"), predict, R.batch_folder_sink(f"{folder}/signals"), 10000.0, V.WINDOWS, V.HORIZON_ROLES)
     bars = R.stream_bars(_ticks(spark, sf), 3600).drop("_w")
     R.start(bars, cycle, f"{folder}/state").awaitTermination()
-    return out(spark.read.parquet(f"{folder}/signals").drop("batch").dropDuplicates(["token", "ts"]))
+    made = spark.read.parquet(f"{folder}/signals")
+    return out(made.select("token", "ts", "directive", "entry_price", F.round("atr", 5).alias("atr"), F.round("stop_loss", 5).alias("stop_loss"), F.round("size", 5).alias("size")))
 
 
 # ------------------------------------------------------------------ models

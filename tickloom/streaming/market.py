@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.config import TIMEFRAMES
 from tickloom.operators import signals as S
-from tickloom.operators.bars import OHLCV, ohlcv_of_ticks
+from tickloom.operators.asof import available_at
+from tickloom.operators.bars import OHLCV, ohlcv_of_ticks, resample
+from tickloom.operators.indicators import indicators
 from tickloom.operators.store import upsert_table
-from tickloom.operators.trades import trigger_levels, trigger_reason
-from tickloom.plans.features import feature_table, latest_features
+from tickloom.operators.trades import position_triggers
+from tickloom.plans.features import feature_table
 from tickloom.session import prepare
 
 
@@ -42,28 +44,56 @@ def stream_resample(bars: DataFrame, timeframe: str, keys: Sequence[str] = ("tok
     return made.select(*keys, F.lit(timeframe).alias("tf"), F.col("_w2.start").alias("ts"), *OHLCV)
 
 
-def stream_triggers(ticks: DataFrame, positions: DataFrame, keys: Sequence[str] = ("token",), tie: str = "tick_id") -> DataFrame:
-    """First hit of every position, as an update stream keyed by position.
+def cascade_sink(path: str, timeframes: Sequence[str], seconds: int, keys: Sequence[str] = ("token",)) -> Callable[[DataFrame, int], None]:
+    """Sink of a stream of closed bars of ``seconds``: all coarser timeframes from that one
+    stream. Base bars go to ``path``/base; a coarser bar is written to ``path``/rows by the
+    batch whose bars reach its end, from the base bars of at most its own length."""
+    length = F.create_map(*[F.lit(x) for tf in timeframes for x in (tf, TIMEFRAMES[tf])])
+    longest = max(TIMEFRAMES[tf] for tf in timeframes)
 
-    Only ticks beyond a level of an open position leave the stream-static join; the state is
-    the earliest of them per position, so a later tick never changes a closed position.
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.select(*keys, "ts", *OHLCV).write.mode("overwrite").parquet(f"{path}/base/batch={batch_id}")
+        stored = spark.read.parquet(f"{path}/base").filter(F.col("batch") <= batch_id)
+        end = F.max(F.unix_seconds("ts") + seconds)
+        reached = stored.agg(end.alias("now"), F.max(F.when(F.col("batch") < batch_id, F.unix_seconds("ts") + seconds)).alias("before")).first()
+        if reached.now is None:
+            return
+        recent = stored if reached.before is None else stored.filter(F.unix_seconds("ts") >= reached.before - longest)
+        ends = F.unix_seconds("ts") + length[F.col("tf")]
+        made = resample(recent, timeframes, keys).filter(ends <= reached.now)
+        if reached.before is not None:
+            made = made.filter(ends > reached.before)
+        made.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    return run
+
+
+def trigger_sink(positions: Callable[[SparkSession], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """Sink of a tick stream: the first hit of every open position, written once per position.
+
+    ``positions`` is read anew for every batch, so positions opened meanwhile are watched from
+    their entry on. Positions that an earlier batch has closed leave, so nothing is kept for
+    them and later ticks change nothing. Ticks meet positions through the block index.
     """
-    levels = positions.withColumns(trigger_levels(F.col("direction"), F.col("stop_loss"), F.col("take_profit")))
-    crossed = (F.col("price") <= F.col("lower")) | (F.col("price") >= F.col("upper"))
-    hits = ticks.join(levels, list(keys)).filter((F.col("ts") > F.col("entry_ts")) & crossed)
-    held = [c for c in positions.columns if c not in keys]
-    first = hits.groupBy("position_id", *keys).agg(
-        F.min(F.struct("ts", tie, "price")).alias("hit"), *[F.first(c).alias(c) for c in held if c != "position_id"]
-    )
-    price = F.col("hit.price")
-    return first.select(
-        "position_id",
-        *keys,
-        "direction",
-        F.col("hit.ts").alias("trigger_ts"),
-        price.alias("trigger_price"),
-        trigger_reason(F.col("direction"), F.col("stop_loss"), price).alias("reason"),
-    )
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = positions(spark)
+        schema = T.StructType([known.schema["position_id"], T.StructField("batch", T.LongType())])
+        closed = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path) if _exists(spark, path) else None
+        if closed is not None:
+            # a replayed batch doesn't count what it wrote itself
+            known = known.join(closed.filter(F.col("batch") < batch_id).select("position_id"), "position_id", "left_anti")
+        made = position_triggers(known, batch)
+        made.select("position_id", "token", "direction", "trigger_ts", "trigger_price", "reason").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return run
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
@@ -82,11 +112,11 @@ def batch_folder_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def upsert_sink(path: str, keys: Sequence[str], partition: str) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, keys: Sequence[str], partition: str, order: Sequence[str] | None = None) -> Callable[[DataFrame, int], None]:
     """Change-only upsert of every micro-batch into a stored table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(batch.sparkSession, path, batch, keys, partition)
+        upsert_table(batch.sparkSession, path, batch, keys, partition, order)
 
     return write
 
@@ -100,25 +130,36 @@ def live_cycle(
     roles: dict[str, str],
     events: Callable[[SparkSession], DataFrame] | None = None,
     halted: Callable[[], bool] = lambda: False,
+    look_back: str | None = None,
+    atr_window: int = 14,
 ) -> Callable[[DataFrame, int], None]:
-    """Sink of a bar stream: features of the newest bar, predictions, directive, size.
+    """Sink of a bar stream: features of every closed bar of the batch, predictions, directive,
+    stop from the latest ATR of the second timeframe, size.
 
-    ``history`` reads the look-back slice of the bar table (at least three times the longest
-    window), ``predict`` turns feature rows into (token, ts, model, label, prob).
+    ``history`` reads the stored bars; they are cut to what the batch can see: nothing after its
+    last bar and, with ``look_back`` (an interval such as ``"90 days"``, at least three times the
+    longest window), nothing long before its first. ``predict`` turns feature rows into
+    (token, ts, model, label, prob).
     """
+    keys = ["token", "ts"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select("token").distinct()
-        bars = history(spark).join(touched, "token", "left_semi")
-        newest = latest_features(feature_table(bars, events(spark) if events else None, windows, roles))
-        base = bars.filter(F.col("tf") == roles["15m"])
-        directives = S.consensus(predict(newest), by=["token", "ts"])
-        priced = directives.join(base.select("token", "ts", F.col("close").alias("entry_price")), ["token", "ts"], "left")
-        opened = priced.withColumns(S.stop_and_target(F.col("directive"), F.col("entry_price"), F.lit(None).cast("double")))
+        fresh = batch.select("token", F.lit(roles["15m"]).alias("tf"), "ts", *OHLCV)
+        span = batch.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+        if span.low is None:
+            return
+        bars = history(spark).join(fresh.select("token").distinct(), "token", "left_semi").filter(F.col("ts") <= F.lit(span.high))
+        if look_back:
+            bars = bars.filter(F.col("ts") >= F.lit(span.low) - F.expr(f"INTERVAL {look_back}"))
+        bars = bars.select(*fresh.columns).join(fresh.select("token", "tf", "ts"), ["token", "tf", "ts"], "left_anti").unionByName(fresh)
+        rows = feature_table(bars, events(spark) if events else None, windows, roles).join(fresh.select(*keys), keys, "left_semi")
+        priced = predict(rows).join(fresh.select(*keys, F.col("close").alias("entry_price")), keys)
+        directives = S.consensus(priced, by=keys, entry_price="entry_price")
+        second = roles["1h"]
+        atr = available_at(indicators(bars.filter(F.col("tf") == second), atr=atr_window, null_head=True).select(*keys, "atr"), TIMEFRAMES[second])
+        opened = S.trade_params(directives, atr)
         sized = opened.withColumn("size", S.position_size(F.lit(balance), F.col("entry_price"), F.col("stop_loss")))
         write(S.admissible(sized, halted=halted()), batch_id)
 
     return run
-
-
