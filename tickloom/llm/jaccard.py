@@ -13,7 +13,7 @@ set with too few non-empty parts adds its smallest shingles by the prefix princi
 Trees. Subtrees of one smallest key (the pivot) form one tree: a set that shares many of them is sent
 once. The leaves are token bitmaps in order of size, inner nodes hold the OR of the bitmaps and the range of
 sizes, and a dual traversal drops node pairs whose maximum possible overlap is too small or whose sizes are
-too far apart. Pairs of leaves that remain are compared exactly unless they are one component by now, so a
+too far apart. A tree that is part of another one is left out. Pairs of leaves that remain are compared exactly unless they are one component by now, so a
 tree of m sets returns at most m - 1 links.
 
 Trees of over ``GROUP`` sets (or as many shingles as ``GROUP`` sets of 512) are split in salted blocks that
@@ -245,11 +245,24 @@ def _search(percent: int):
     return search
 
 
+def largest_trees(members: DataFrame) -> DataFrame:
+    """(pivot, set) without the pivots all of whose sets stand under another pivot as well.
+
+    Such another pivot has the smaller one among its own sets, so only those are compared; of trees that
+    hold one another the smaller keys lead to the largest tree, which stays.
+    """
+    size = members.groupBy("pivot").agg(F.count("*").alias("n"))
+    above = members.where("pivot < set").select(F.col("set").alias("pivot"), F.col("pivot").alias("other")).join(size, "pivot")
+    common = members.join(above, "pivot").join(members.select(F.col("pivot").alias("other"), "set"), ["other", "set"])
+    held = common.groupBy("pivot", "other", "n").agg(F.count("*").alias("k")).where("k = n").select("pivot").distinct()
+    return members.join(held, "pivot", "left_anti")
+
+
 def links(docs: DataFrame, sizes: DataFrame, text: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
     """Links (a, b) between sets, enough to join every component; ``sizes`` has (set, n)."""
     by_sig = Window.partitionBy("sig")
     found = subtrees(docs, text, shingle, percent).withColumn("pivot", F.min("set").over(by_sig)).withColumn("last", F.max("set").over(by_sig))
-    members = checkpoint(found.where("pivot < last").select("pivot", "set").distinct())
+    members = checkpoint(largest_trees(checkpoint(found.where("pivot < last").select("pivot", "set").distinct())))
     blocks = members.join(sizes, "set").groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / (512 * GROUP))).cast("int").alias("r"))
     own, every = F.pmod(F.xxhash64("set"), F.col("r")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("r") - 1))
     # block i meets block j once, i <= j; a block that meets itself is all on side 0
