@@ -88,10 +88,10 @@ def segments(ends: np.ndarray, h: np.ndarray, window: int = WINDOW) -> tuple[np.
     return owner[start], start, count, seed[start], _ranges(h, start, start + count + window - 1), inner
 
 
-def _cuts(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _cuts(batches: Iterable[pa.RecordBatch], most: int, limit: int = W.CUT) -> Iterator[pa.RecordBatch]:
     """Cuts of (_id, _text) in which a text comes at most ``most`` times in a task."""
     seen: dict[int, int] = {}
-    for cut in W.cuts(batches, "_text"):
+    for cut in W.cuts(batches, "_text", limit):
         keep = []
         for key in cut.column("_id").to_pylist():
             seen[key] = seen.get(key, 0) + 1
@@ -129,7 +129,8 @@ def units(texts: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, met = ["key", "seg", "weight", "shift", "unit", "content"], {}
-        for cut in _cuts(batches, 1):
+        # every word of a hot text stands in 35 windows: small cuts keep their rows few
+        for cut in _cuts(batches, 1, 1 << 18):
             ends, codes, distinct = W.split(cut.column("_text"))
             words, h = np.array(distinct.to_pylist(), object)[codes], W.hashed(distinct)[codes]
             rows: list[tuple] = []
@@ -179,11 +180,13 @@ def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     shards = max(1, -(-size // (6 * SHARD_WORDS)))
     dealt = parts.where("content IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).drop("key")
     spans = checkpoint(dealt.groupBy("shard").applyInPandas(_shard(window), "unit long, `from` int, `to` int"))
-    covers = parts.select("seg", "shift", "unit").distinct().join(spans, "unit").select("seg", (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to"))
+    # a segment that wasn't cut up is its own unit
+    moved = parts.where("unit <> seg").select("seg", "shift", "unit").distinct().join(spans, "unit")
+    covers = spans.select(F.col("unit").alias("seg"), "from", "to").union(moved.select("seg", (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to")))
     per_seg = checkpoint(covers.groupBy("seg").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
-    placed = found.select("seg", "text", "first").distinct().join(per_seg, "seg")
+    placed = found.select("seg", "text", "first").join(per_seg, "seg")
     moved = F.transform("spans", lambda s: F.struct((s["from"] + F.col("first")).alias("from"), (s["to"] + F.col("first")).alias("to")))
-    return checkpoint(placed.select("text", moved.alias("spans")).groupBy("text").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    return checkpoint(placed.select("text", moved.alias("spans")).groupBy("text").agg(F.flatten(F.collect_set("spans")).alias("spans")))
 
 
 def dedup(docs: DataFrame, *keep: str | Column, text: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -191,16 +194,27 @@ def dedup(docs: DataFrame, *keep: str | Column, text: str = "text", window: int
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(whole).alias("_id"), whole.alias("_text"))
     found = repeats(texts, window)
-    rows = docs.select(*keep, F.xxhash64(whole).alias("_id"), whole.alias("_text")).join(found.withColumnRenamed("text", "_id"), "_id", "left")
-    names = [c for c in rows.columns if c not in ("_id", "_text", "spans")]
-    rows = rows.select(*names, "_text", "spans")
-    kept = [f for f in rows.schema.fields if f.name in names]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n_words long, n_removed long, kept_sha256 string"] + ["kept_text string"] * with_text)
+    rows = docs.select(*keep, whole.alias("_text"), F.xxhash64(whole).alias("_id"))
+    names = [c for c in rows.columns if c not in ("_id", "_text")]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
+    schema = ", ".join(filter(None, [kept, "n_words long, n_removed long, kept_sha256 string", "kept_text string" * with_text]))
+    held = docs.sparkSession.sparkContext.broadcast(key_filter(found, "text"))
+
+    def touched(wanted: bool):
+        """Rows whose text may have spans, or the others, which need no join."""
+
+        def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for cut in W.cuts(batches, "_text"):
+                hit = passes(held.value, cut.column("_id").to_numpy(zero_copy_only=False))
+                yield cut.filter(pa.array(hit if wanted else ~hit, pa.bool_()))
+
+        return sift
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in W.cuts(batches, "_text"):
+            none = "spans" not in cut.schema.names
             total, removed, left = [], [], []
-            for text, spans in zip(cut.column("_text").to_pylist(), cut.column("spans")):
+            for text, spans in zip(cut.column("_text").to_pylist(), [pa.scalar(None)] * cut.num_rows if none else cut.column("spans")):
                 words = text.encode().split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 if spans.is_valid and len(spans):
@@ -217,4 +231,6 @@ def dedup(docs: DataFrame, *keep: str | Column, text: str = "text", window: int
                 columns.append(pa.array([x.decode() for x in left], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
 
-    return rows.mapInArrow(run, schema)
+    whole_rows = rows.mapInArrow(lambda batches: run(touched(False)(batches)), schema)
+    some = rows.mapInArrow(touched(True), rows.schema).join(found.withColumnRenamed("text", "_id"), "_id", "left")
+    return some.select(*names, "_text", "spans").mapInArrow(run, schema).union(whole_rows)
