@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tickloom.llm.release import release
 from tickloom.session import checkpoint
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") / 1024)).first())
+    # whole numbers, so that the sum is the same in any order
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 31) - 1)))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = checkpoint(edges.where("a <> b").select(low.alias("a"), high.alias("b")).distinct())
+    del edges
+    release(now.sparkSession)
     seen = _mark(now)
     while seen[0]:
         both = now.union(now.select("b", "a"))

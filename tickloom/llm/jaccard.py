@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom.llm import words as W
 from tickloom.llm.filters import key_filter, passes
 from tickloom.llm.graph import components
+from tickloom.llm.release import release
 from tickloom.session import checkpoint
 
 GROUP = 1024
@@ -262,7 +263,10 @@ def links(docs: DataFrame, sizes: DataFrame, text: str = "text", shingle: int =
     """Links (a, b) between sets, enough to join every component; ``sizes`` has (set, n)."""
     by_sig = Window.partitionBy("sig")
     found = subtrees(docs, text, shingle, percent).withColumn("pivot", F.min("set").over(by_sig)).withColumn("last", F.max("set").over(by_sig))
-    members = checkpoint(largest_trees(checkpoint(found.where("pivot < last").select("pivot", "set").distinct())))
+    members = checkpoint(found.where("pivot < last").select("pivot", "set").distinct())
+    del found
+    release(docs.sparkSession)
+    members = checkpoint(largest_trees(members))
     blocks = members.join(sizes, "set").groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / (512 * GROUP))).cast("int").alias("r"))
     own, every = F.pmod(F.xxhash64("set"), F.col("r")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("r") - 1))
     # block i meets block j once, i <= j; a block that meets itself is all on side 0

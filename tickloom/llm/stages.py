@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm import jaccard, leaks, mixing as mix, secrets, tokens
+from tickloom.llm.filters import key_filter, passes
 from tickloom.session import checkpoint
 
 
@@ -23,17 +25,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, 0.8): the smallest id, then the first of equal rows."""
-    row = F.struct(*docs.columns).alias("_row")
-    found = jaccard.join(docs.withColumn("_key", F.xxhash64(*docs.columns)), "_key", shingle=5, percent=80)
-    # rows that stay, by content: a group keeps its smallest (id, key); rows without words are no group
-    whole = docs.select(row, F.xxhash64(*docs.columns).alias("_key"))
-    keyed = found.groupBy("_key").agg(F.first("component_id").alias("component_id"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("_rows"))
-    ids = docs.select(F.xxhash64(*docs.columns).alias("_key"), "doc_id").distinct()
-    named = keyed.join(ids, "_key").withColumn("group", F.when(F.col("n_shingles") == 0, F.struct(F.lit(0).alias("k"), F.col("_key").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("component_id").alias("v"))))
-    stay = checkpoint(named.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_key", "_rows")).alias("s")).select("s._key", (F.col("s._rows") > 1).alias("_twice")))
-    once = whole.join(stay, "_key").drop("_key")
-    # equal rows are the exception: only they are grouped
-    return once.where("NOT _twice").select("_row.*").union(once.where("_twice").select("_row").distinct().select("_row.*"))
+    key = F.xxhash64(*docs.columns)
+    # one row per content: a group keeps its smallest (id, key); texts without words are no group
+    found = jaccard.join(docs.withColumn("_key", key), "_key", "doc_id", doc_id="_key", shingle=5, percent=80)
+    rows = found.groupBy("_key").agg(F.first("doc_id").alias("doc_id"), F.first("component_id").alias("component_id"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    group = F.when(F.col("n") == 0, F.concat(F.lit("="), F.col("_key").cast("string"))).otherwise(F.col("component_id").cast("string"))
+    rows = checkpoint(rows.withColumn("group", group))
+    first = rows.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "_key")).alias("s")).select(F.col("s._key").alias("_key"), F.lit(True).alias("_stays"))
+    # what goes, and what stays once of several equal rows; all other rows pass without a join
+    touched = checkpoint(rows.join(first, "_key", "left").where("_stays IS NULL OR rows > 1").select("_key", F.coalesce("_stays", F.lit(False)).alias("_stays")))
+    held = spark.sparkContext.broadcast(key_filter(touched, "_key"))
+    keyed = docs.withColumn("_key", key)
+
+    def sift(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                hit = passes(held.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array(hit if wanted else ~hit, pa.bool_()))
+
+        return run
+
+    some = keyed.mapInArrow(sift(True), keyed.schema).join(touched, "_key", "left")
+    once = some.where("_stays").dropDuplicates(["_key"])
+    return keyed.mapInArrow(sift(False), keyed.schema).drop("_key").union(some.where("_stays IS NULL").union(once).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

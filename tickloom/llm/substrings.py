@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom.llm import words as W
 from tickloom.llm.filters import key_filter, passes
 from tickloom.llm.fmindex import DEPTH, Index
+from tickloom.llm.release import release
 from tickloom.session import checkpoint
 
 WINDOW = 35
@@ -172,14 +173,20 @@ def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     by_seed = Window.partitionBy("seed")
     again = occurrences(texts, window).withColumn("_n", F.count("*").over(by_seed)).where("_n > 1 OR inner").drop("_n", "inner")
     found = checkpoint(again)
+    del again
+    release(texts.sparkSession)
     segs = found.groupBy("seed", "seg").agg(F.count("*").alias("weight"), F.min(F.struct("text", "first", "windows")).alias("at"))
     many = segs.groupBy("seed").agg((F.count("*") > HOT).alias("hot"))
     wanted = segs.join(many, "seed").groupBy("at.text").agg(F.collect_list(F.struct(F.col("at.first").alias("first"), F.col("at.windows").alias("windows"), "seed", "seg", "weight", "hot")).alias("parts"))
     parts = checkpoint(units(texts, checkpoint(wanted), window))
+    del segs, many, wanted
+    release(texts.sparkSession)
     size = parts.agg(F.sum(F.length("content")).alias("chars")).first()["chars"] or 0
     shards = max(1, -(-size // (6 * SHARD_WORDS)))
     dealt = parts.where("content IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).drop("key")
     spans = checkpoint(dealt.groupBy("shard").applyInPandas(_shard(window), "unit long, `from` int, `to` int"))
+    del dealt
+    release(texts.sparkSession)
     # a segment that wasn't cut up is its own unit
     moved = parts.where("unit <> seg").select("seg", "shift", "unit").distinct().join(spans, "unit")
     covers = spans.select(F.col("unit").alias("seg"), "from", "to").union(moved.select("seg", (F.col("from") + F.col("shift")).alias("from"), (F.col("to") + F.col("shift")).alias("to")))
