@@ -85,7 +85,7 @@ def _units(passages: DataFrame) -> DataFrame:
 def parents(rows: DataFrame) -> DataFrame:
     """(_m, _parent, _parent_turn): the message each message replies to by its quotes."""
     passages = rows.select("_conv", "_m", "_turn", F.explode(_passages(_lines(F.col("_text")))).alias("p"))
-    units = _units(passages.distinct())
+    units = _units(passages)  # repeated rows give equal units, which the sums below don't count twice
     first = checkpoint(units.where("level = 0").groupBy("_conv", "hash").agg(F.min(F.struct("_turn", "_m")).alias("o")))
     quoted = units.where("level > 0").groupBy("_conv", "_m", "_turn", "hash").agg(F.min("level").alias("level"), F.max("words").alias("words"))
     before = (F.col("o._turn") < F.col("_turn")) | ((F.col("o._turn") == F.col("_turn")) & (F.col("o._m") < F.col("_m")))
