@@ -401,6 +401,15 @@ def test_leaks_are_found(spark, prose):
     assert leaks.leaks(docs_of(spark, texts), table.limit(0), "doc_id").count() == 0
 
 
+def test_leaks_of_common_seeds_stay(spark, prose):
+    item = prose(40, 500).split()
+    copy = " ".join(w if i < 5 or i % 5 else f"zz{i}" for i, w in enumerate(item))  # one run of five words is left
+    texts = [copy] * 5 + [f"{copy} tail{i}" for i in range(1200)]
+    table = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id for r in leaks.leaks(docs_of(spark, texts), table, "doc_id").collect()}
+    assert got == set(range(len(texts)))
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = np.random.default_rng(3)
     for _ in range(50):
