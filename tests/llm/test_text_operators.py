@@ -410,6 +410,19 @@ def test_leaks_of_common_seeds_stay(spark, prose):
     assert got == set(range(len(texts)))
 
 
+def test_leaks_equal_the_alignment_of_all_with_all(spark, prose):
+    items = [prose(n, 600 + n) for n in (5, 8, 17, 40, 40, 59)]
+    words = [i.split() for i in items]
+    edits = [lambda w: [f"zz{i}" if i % 5 == 4 else x for i, x in enumerate(w)], lambda w: [f"zz{i}" if i % 3 == 2 else x for i, x in enumerate(w)]]
+    edits += [lambda w: [y for i, x in enumerate(w) for y in (x, f"zz{i}")], lambda w: [x for i, x in enumerate(w) if i % 4], lambda w: w[: (len(w) + 1) // 2], lambda w: [x for i, x in enumerate(w) if i % 2]]
+    texts = [" ".join([prose(30, 7 * k), *e(w), prose(30, 9 * k)]) for k, w in enumerate(words) for e in edits]
+    got = {(r.doc_id, r.item_id): r.score for r in leaks.leaks(docs_of(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), "doc_id").collect()}
+    codes = {x: i for i, x in enumerate(sorted(set(" ".join(items + texts).split())))}
+    coded = lambda t: np.array([codes[x] for x in t.split()])
+    every = {(d, i): leaks.align(coded(item), coded(text)) for d, text in enumerate(texts) for i, item in enumerate(items)}
+    assert got == {k: v for k, v in every.items() if v >= 0.5} and len(got) > 24
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = np.random.default_rng(3)
     for _ in range(50):
