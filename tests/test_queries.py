@@ -25,3 +25,11 @@ def test_query(spark, con, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_every_label_horizon_is_trained_and_scored(spark):
+    from tickloom.config import LABEL_HORIZONS
+
+    scored = QUERIES["train_score"](spark, FOLDER).groupBy("horizon").count().collect()
+    assert {r.horizon for r in scored} == set(LABEL_HORIZONS) and min(r["count"] for r in scored) > 0
+    assert {r.horizon for r in QUERIES["model_metrics"](spark, FOLDER).select("horizon").distinct().collect()} == set(LABEL_HORIZONS)

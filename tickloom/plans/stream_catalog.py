@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.config import EVENT_FLAG, TIMEFRAMES
+from tickloom.config import EVENT_FLAG, LABEL_HORIZONS, TIMEFRAMES
 from tickloom.operators import labels as L, models as ML
 from tickloom.plans import bars_catalog as BC, features as feature_plan, trade_catalog
 from tickloom.plans.sql import with_views
@@ -144,18 +144,19 @@ def live_signals(spark, sf):
 # ------------------------------------------------------------------ models
 
 
-HORIZONS = {"1h": 4, "4h": 16}
+# The views' windows, and small ones for the horizon that they and the SQL twins leave out.
+WINDOWS = {**V.WINDOWS, "8h": {"15m": (14, 20, 20), "1h": (None, 14, 20), "4h": (None, 5, 5), "1d": (None, 2, 2)}}
 
 
 def _scores(spark, sf):
     """One model per horizon on all features and the event flag, every token and bar."""
     bars = V.bars(spark, sf)
-    features = feature_plan.feature_table(bars, V.econ_events(spark, sf), V.WINDOWS, V.HORIZON_ROLES)
-    labels = L.barrier_labels(V.bars_1h(spark, sf), HORIZONS)
-    whole = checkpoint(L.training_set(features, labels, list(HORIZONS)).withColumn(EVENT_FLAG, F.col(EVENT_FLAG).cast("double")))
+    features = feature_plan.feature_table(bars, V.econ_events(spark, sf), WINDOWS, V.HORIZON_ROLES)
+    labels = L.barrier_labels(V.bars_1h(spark, sf), LABEL_HORIZONS)
+    whole = checkpoint(L.training_set(features, labels, list(LABEL_HORIZONS)).withColumn(EVENT_FLAG, F.col(EVENT_FLAG).cast("double")))
     made = [
         ML.train_and_score(whole.filter(F.col("horizon") == h).drop("horizon"), "target", [*BC.FEATURES, EVENT_FLAG], ["token"]).withColumn("horizon", F.lit(h))
-        for h in HORIZONS
+        for h in LABEL_HORIZONS
     ]
     return reduce(DataFrame.unionByName, made)
 
