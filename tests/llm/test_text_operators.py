@@ -319,6 +319,15 @@ def test_main_text_of_pages():
     assert [extract.main_text(h) for h in (None, "", "<p>", "plain", "<nav>x</nav>", "<p>a<!-- b", "<![if x]>c", "&#x41;&nbsp;&am")] == ["", "", "", "plain", "", "a", "c", "A &am"]
 
 
+def test_only_comments_are_comments():
+    article = "<article><p>The text of the page.</p></article>"
+    for before in ('<script>if(s.indexOf("<!--")>=0){x()}</script>', "<style>p{} <!-- </style>", "<textarea><!-- </textarea>", '<img alt="<!--">', "<![foo]>", "<![ x>", "<!-->", "<!--->", "<!-- a --!>"):
+        assert extract.main_text(before + article) == "The text of the page.", before
+        assert extract.main_text(article + before) == "The text of the page.", before
+    assert extract.main_text("<p>before <![foo]>after") == "before after"
+    assert extract.main_text(article + "<!-- never <p>ended</p>") == "The text of the page."
+
+
 def test_extract_on_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in extract.extract(pages, "page_id", "html").collect():

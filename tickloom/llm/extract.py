@@ -9,6 +9,8 @@ seed's section (the nearest article or main element) is a content region; on a p
 it is the run from the first seed to the last one and all that shares a container with a seed. All lines of
 the region but boilerplate are the page's text, short ones included.
 
+A comment that never ends is dropped; unknown declarations end at the next ">".
+
 Null or empty pages and pages without content give an empty text. Broken markup, unclosed elements and
 character references cut at the end are read as far as they go. Repeated rows give equal rows.
 """
@@ -30,6 +32,7 @@ SHARE = 0.5  # of the smoothed ratios' standard deviation: the clusters' thresho
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select option textarea button head title datalist".split())
+RAW = frozenset("textarea title iframe".split())  # what looks like a comment in them is text
 ASIDE = frozenset("nav aside footer form dialog menu fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -49,6 +52,7 @@ _MARK = re.compile(
     re.I,
 )
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?--(?:!|\s*)>)", re.S)
 _SPACE = re.compile(r"\s+")
 
 
@@ -88,6 +92,18 @@ class _Lines(HTMLParser):
     def updatepos(self, i: int, j: int) -> int:
         return j  # nobody asks for line numbers
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        if any(x[0] in RAW for x in self.open):
+            return i + 4
+        end = _COMMENT.match(self.rawdata, i)
+        return end.end() if end else len(self.rawdata)  # the whole page was fed: this comment never ends
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # not one of the sections it knows
+            return self.parse_bogus_comment(i, 0)
+
     def _pop(self, to: int) -> None:
         del self.open[to:]
         _, self.silent, self.aside, self.section, self.links, self.box = self.open[-1] if self.open else ("", False, False, 0, 0, 0)
@@ -148,15 +164,9 @@ def _smooth(values: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
-    parser, html = _Lines(), html or ""
-    cut = html.rfind("<!--")
-    if cut >= 0 and html.find("-->", cut) < 0:  # a comment that never ends
-        html = html[:cut]
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # the parser gives up on some broken declarations: what came before stays
-        pass
+    parser = _Lines()
+    parser.feed(html or "")
+    parser.close()
     lines = []
     for texts, tags, links, aside, section, box in parser.lines:
         text = _SPACE.sub(" ", "".join(texts)).strip()
