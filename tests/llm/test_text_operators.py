@@ -53,6 +53,13 @@ def test_fertility_agrees_with_the_vocabularies():
     assert got["n_words"][1] == 0
 
 
+def test_numbers_do_not_reject_short_prose(spark):
+    short = "Èqueelle. Aiment ourepa èê queçé oitreoi aiçre.\n1232810148878564 È avec rerepa oument éreé. Des +1 (826) 555-4081 190.137.223.204 du anviou un èai.\nPour mentpach aux èé de re menté desaipationch aiment."
+    numbers = "avec menté " + " ".join(str(10**9 + 7919 * i) for i in range(40))
+    rows = tokens.quality(docs_of(spark, [short, numbers]).selectExpr("*", "'fr' lang"), "doc_id").collect()
+    assert {r.doc_id: r.kept for r in rows} == {0: True, 1: False} and "_prose_token" not in rows[0]
+
+
 def test_junk_is_rejected_and_prose_kept(spark):
     clean = "Than heoron eratsh therin blees sh in esheon erstlyat of an eronthwh reer th with anat tisher that therble eresan the thesened heention " * 1
     junk = " ".join(f"{w}{'#$%&*'[i % 5] * 3}" for i, w in enumerate((clean + clean[::-1]).upper().split()))

@@ -30,6 +30,9 @@ METRICS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_byte_tokens long, "
     "chars_per_token double, chars_per_piece double, fallback_share double, entropy double, script string"
 )
+#: Characters per token and piece without numbers, 0 if more than a quarter of the words are numbers; for the bands only.
+PROSE = ("_prose_token", "_prose_piece")
+NUMBER = r"^[+(\[]?[0-9][0-9.,:/()\[\]+-]*$"
 
 
 @dataclass(frozen=True)
@@ -208,6 +211,12 @@ def measures(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     n_bytes = _per_text(v.n_bytes[place][codes], ends)
     n_bpe = _per_text(v.counts[place][codes], ends)
     latin, other = _per_text(_LATIN[raw], at), _per_text(_OTHER[raw], at)
+    # numbers, and the other words of each text
+    number = pc.match_substring_regex(distinct, NUMBER).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+    n_numbers = _per_text(number, ends)
+    chars_in = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+    prose = (1 - number) * (4 * n_numbers <= np.diff(ends))[np.repeat(np.arange(len(ends) - 1), np.diff(ends))]
+    prose_chars = _per_text(prose * chars_in, ends)
     return {
         "n_words": np.diff(ends),
         "word_chars": chars,
@@ -221,6 +230,8 @@ def measures(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
         "fallback_share": n_bytes / np.maximum(n_pieces, 1),
         "entropy": _entropy(text_ends, tokens, len(v.byte_pieces)) / np.log2(np.clip(n_pieces, 2, len(v.byte_pieces))),
         "script": np.where(other > latin, "other", "latin"),
+        "_prose_token": prose_chars / np.maximum(_per_text(prose * v.counts[place][codes], ends), 1),
+        "_prose_piece": prose_chars / np.maximum(_per_text(prose * each, ends), 1),
     }
 
 
@@ -229,7 +240,7 @@ def fertility(docs: DataFrame, *keep: str | Column, text: str | Column = "text",
     text = F.col(text) if isinstance(text, str) else text
     narrow = docs.select(*keep, text.cast("string").alias("_text"))
     kept = [f for f in narrow.schema.fields if f.name != "_text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [METRICS])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [METRICS] + [f"{c} double" for c in PROSE])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in W.cuts(batches, "_text"):
@@ -248,8 +259,8 @@ def within_bands(lang: Column, rules: Rules = Rules()) -> Column:
 
     def fits(b: Band) -> Column:
         return (
-            F.col("chars_per_token").between(*b.chars_per_token)
-            & F.col("chars_per_piece").between(*b.chars_per_piece)
+            (F.greatest("chars_per_token", "_prose_token") >= b.chars_per_token[0]) & (F.col("chars_per_token") <= b.chars_per_token[1])
+            & (F.greatest("chars_per_piece", "_prose_piece") >= b.chars_per_piece[0]) & (F.col("chars_per_piece") <= b.chars_per_piece[1])
             & (F.col("fallback_share") <= b.most_fallback)
             & (F.col("entropy") >= b.least_entropy)
         )
@@ -266,4 +277,4 @@ def quality(docs: DataFrame, *keep: str | Column, text: str | Column = "text", l
     lang = F.col(lang) if isinstance(lang, str) else lang
     found = fertility(docs, *keep, lang.alias("_lang"), text=text, rules=rules)
     found = found.withColumn("base_failed", base_failed())
-    return found.withColumn("kept", ~F.col("base_failed") & within_bands(F.col("_lang"), rules)).drop("_lang")
+    return found.withColumn("kept", ~F.col("base_failed") & within_bands(F.col("_lang"), rules)).drop("_lang", *PROSE)
