@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import extract, jaccard, language, leaks, mixing, quotes, secrets, substrings, surrogates, tokens
+from tickloom.llm import extract, jaccard, language, leaks, mixing, periodic, quotes, secrets, substrings, surrogates, tokens, variants
 
 
 #: The key of a real run comes from the caller's secret store.
@@ -64,6 +64,16 @@ def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), "doc_id")
 
 
+def op12_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", periodic.planted("text", "doc_id").alias("text"))
+    return periodic.digest(periodic.collapse(docs, "doc_id"), "doc_id")
+
+
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = variants.count_words(_read(spark, folder, "documents"), least_letters=7, slips="doc_id")
+    return variants.group_variants(words.where("n >= 2"), least_letters=7, ratio=10)
+
+
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op2_surrogates": op2_surrogates,
@@ -75,5 +85,7 @@ QUERIES = {
     "op8_extract": op8_extract,
     "op9_secrets": op9_secrets,
     "op10_leaks": op10_leaks,
+    "op12_periodic": op12_periodic,
+    "op13_variants": op13_variants,
 }
 ORACLES: dict[str, str] = {}
