@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickloom.llm import extract, jaccard, language, leaks, mixing, periodic, quotes, secrets, substrings, surrogates, tokens, variants
+from tickloom.llm import extract, jaccard, language, leaks, mixing, ngrams, periodic, quotes, secrets, substrings, surrogates, tokens, variants
 
 
 #: The key of a real run comes from the caller's secret store.
@@ -64,6 +64,12 @@ def op10_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), "doc_id")
 
 
+def op11_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from the documents whose crc32 leaves no remainder of 2 by 7; null ids are held out."""
+    train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2
+    return ngrams.score(_read(spark, folder, "documents"), "doc_id", train=train)
+
+
 def op12_periodic(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", periodic.planted("text", "doc_id").alias("text"))
     return periodic.digest(periodic.collapse(docs, "doc_id"), "doc_id")
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_extract": op8_extract,
     "op9_secrets": op9_secrets,
     "op10_leaks": op10_leaks,
+    "op11_ngrams": op11_ngrams,
     "op12_periodic": op12_periodic,
     "op13_variants": op13_variants,
 }
