@@ -24,6 +24,7 @@ named like the result's own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -37,9 +38,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tickloom.llm import words as W
 from tickloom.llm.eliasfano import Trie
 from tickloom.llm.release import release
-from tickloom.session import checkpoint
+from tickloom.session import checkpoint, shared_dir
 
-ROOM = 3_000_000  # trigram places of a shard
+ROOM = 1_200_000  # trigram places of a shard
 DISCOUNT = 0.9
 STEPS = 4096  # codes to a decade
 NOTHING = 65535  # the code of 0
@@ -112,7 +113,11 @@ class Block(NamedTuple):
     @classmethod
     def of(cls, texts: pa.Array, train: np.ndarray) -> "Block":
         ends, codes, distinct = W.split(texts, lower=True)
-        return cls(ends.astype(np.int64), codes.astype(np.int64), W.hashed(distinct), train)
+        # frequent words get the small places, which pack better
+        order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(ends.astype(np.int64), place[codes], W.hashed(distinct)[order], train)
 
     def to_bytes(self) -> bytes:
         return pack(self.ends, self.codes, self.hashes, self.train)
@@ -154,6 +159,17 @@ def blocks(docs: DataFrame, keep: Iterable[str | Column], text: str | Column, tr
     return flagged.mapInArrow(run, schema)
 
 
+def stored(table: DataFrame) -> DataFrame:
+    """The blocks as a table in the shared folder, in buckets, so that answers come to them and they are not shuffled."""
+    spark = table.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
+
+
 # ------------------------------------------------------------------ words
 
 
@@ -183,7 +199,10 @@ def word_answers(requests: DataFrame, shards: int, room: int) -> DataFrame:
         keys, inverse = np.unique(np.concatenate([a[0].astype(np.uint64) for a in asked]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([a[1].astype(np.int64) for a in asked]), len(keys)).astype(np.int64)
         known = counts > 0
-        numbers = np.where(known, 4 + (np.cumsum(known) - 1) * shards + shard, UNKNOWN)
+        # frequent words get the small numbers
+        rank = np.empty(len(keys), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(keys))
+        numbers = np.where(known, 4 + rank * shards + shard, UNKNOWN)
         ends = np.cumsum([0, *(len(a[0]) for a in asked)])
         bodies = [pack(numbers[inverse[a:b]], counts[inverse[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
         hot = counts > room
@@ -191,7 +210,7 @@ def word_answers(requests: DataFrame, shards: int, room: int) -> DataFrame:
             {
                 "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()),
                 "shard": pa.array([shard] * (len(bodies) + 1), pa.int64()),
-                "body": pa.array([*bodies, pack(numbers[hot], counts[hot])], pa.binary()),
+                "body": pa.array([*bodies, pack(numbers[hot], counts[hot], keys[hot])], pa.binary()),
                 "known": pa.array([None] * len(bodies) + [int(known.sum())], pa.int64()),
             }
         )
@@ -305,20 +324,27 @@ def _cogrouped(table: DataFrame, answers: DataFrame, run, schema: str) -> DataFr
     return table.groupBy("block").cogroup(answers.select("block", "shard", "body").groupBy("block")).applyInArrow(one, schema)
 
 
-def hot_pairs(table: DataFrame, answers: DataFrame, shards: int, split: Split, room: int) -> list:
-    """Pairs of split words with more than ``room`` places in training texts."""
-
-    def run(left: pa.Table, found: list) -> pa.Table:
-        block = Block.from_bytes(left.column("body")[0].as_py())
-        numbers, _ = word_table(block, found, shards)
-        t = Trigrams(block)
-        a, b = numbers[t.a], numbers[t.b]
-        at = np.flatnonzero((split.word(a) >= 0) & (split.word(b) >= 0) & (t.counts > 0))
-        key, inverse = np.unique(split.word(a[at]) * max(len(split.words), 1) + split.word(b[at]), return_inverse=True)
-        n = np.bincount(inverse, t.counts[at], len(key)).astype(np.int64)
-        return pa.table({"a": split.words[key // max(len(split.words), 1)], "b": split.words[key % max(len(split.words), 1)], "n": n})
+def hot_pairs(table: DataFrame, split: Split, keys: np.ndarray, room: int) -> list:
+    """Pairs of split words (``keys``: their hashes) with more than ``room`` places in training texts."""
+    size = len(split.words)
 
-    pairs = _cogrouped(table, answers, run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(keys)
+        for batch in batches:
+            for body in batch.column(0):
+                block = Block.from_bytes(body.as_buffer().to_pybytes())
+                t = Trigrams(block)
+                own = block.keys()
+                at = order[np.minimum(np.searchsorted(keys[order], own), len(keys) - 1)]
+                place = np.where(keys[at] == own, at, -1)
+                place = np.concatenate([place, [split.word(np.array([w]))[0] for w in (FIRST, BEGIN)], [-1]])
+                a, b = place[t.a], place[t.b]
+                there = np.flatnonzero((a >= 0) & (b >= 0) & (t.counts > 0))
+                key, inverse = np.unique(a[there] * size + b[there], return_inverse=True)
+                n = np.bincount(inverse, t.counts[there], len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(split.words[key // size]), pa.array(split.words[key % size]), pa.array(n)], ["a", "b", "n"])
+
+    pairs = table.select("body").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     return pairs.where(F.col("n") > room).orderBy("a", "b").collect()
 
 
@@ -373,13 +399,14 @@ def trigram_answers(requests: DataFrame, split: Split, discount: float) -> DataF
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        asked = [[x.astype(np.int64) for x in unpack(b)] for b in table.column("body").to_pylist()]
-        a, b, c, n = [], [], [], []
-        for heads, per_head, pairs, per_pair, thirds, counts in asked:
+        shapes, a, b, c, n = [], [], [], [], []
+        for body in table.column("body"):
+            heads, per_head, pairs, per_pair, thirds, counts = (x.astype(np.int64) for x in unpack(body.as_buffer().to_pybytes()))
             a.append(np.repeat(np.repeat(heads, per_head), per_pair))
             b.append(np.repeat(pairs, per_pair))
             c.append(thirds)
             n.append(counts)
+            shapes.append((per_head, per_pair, len(thirds)))
         a, b, c, n = (np.concatenate(x) for x in (a, b, c, n))
         heads, rank = np.unique(a, return_inverse=True)
         most = int(max(b.max(initial=0), c.max(initial=0))) + 1
@@ -390,8 +417,11 @@ def trigram_answers(requests: DataFrame, split: Split, discount: float) -> DataF
             held, pair_rank = np.unique(rank * most + b, return_inverse=True)
             keys, inverse = np.unique(pair_rank * most + c, return_inverse=True)
             pairs, c = held[keys // most], keys % most
+        n = np.bincount(inverse, n, len(keys))
         a, b = heads[pairs // most], pairs % most
-        part = Shard(a, b, c, np.bincount(inverse, n, len(keys)), split, discount)
+        inverse = inverse.astype(np.int32)
+        del rank, keys, pairs
+        part = Shard(a, b, c, n, split, discount)
         trie = part.trie.mapped()
         first, pair = _starts(a), _starts(a, b)
         node = trie.find(0, np.zeros(len(first), np.int64), a[first])
@@ -402,9 +432,9 @@ def trigram_answers(requests: DataFrame, split: Split, discount: float) -> DataF
         of_gram = np.repeat(np.arange(len(pair)), np.diff(_ends(pair, len(a))))
         share3 = trie.column(2, "share", trie.find(2, node[of_gram], c), NOTHING)
         bodies, at = [], 0
-        for heads, per_head, pairs, per_pair, thirds, _ in asked:
-            grams = inverse[at : at + len(thirds)]
-            at += len(thirds)
+        for per_head, per_pair, size in shapes:
+            grams = inverse[at : at + size]
+            at += size
             in_pair = of_gram[grams[np.cumsum(per_pair) - per_pair]]
             in_head = of_pair[in_pair[np.cumsum(per_head) - per_head]]
             bodies.append(pack(share3[grams], left3[in_pair], share2[in_pair], left2[in_head]))
@@ -483,7 +513,7 @@ def score(docs: DataFrame, *keep: str | Column, text: str | Column = "text", tra
     logarithms (base 10) of p1, ``score`` those of the model.
     """
     spark: SparkSession = docs.sparkSession
-    table = checkpoint(blocks(docs, keep, text, train))
+    table = stored(blocks(docs, keep, text, train))
     total = table.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
     texts = table.agg(F.coalesce(F.sum(F.size(F.filter("rows", lambda r: ~r["held_out"]))), F.lit(0))).first()[0]
     shards = max(1, -(-total // room))
@@ -491,14 +521,13 @@ def score(docs: DataFrame, *keep: str | Column, text: str | Column = "text", tra
     release(spark)
     told = [(r.known, unpack(bytes(r.body))) for r in words.where("block IS NULL").select("known", "body").collect()]
     known = sum(k for k, _ in told)
-    hot = sorted((int(w), int(n)) for _, (numbers, counts) in told for w, n in zip(numbers, counts))
-    if texts > room:
-        hot = [(FIRST, texts), (BEGIN, texts), *hot]
-    w = np.array(hot, np.int64).reshape(-1, 2)
-    split = Split(w[:, 0].copy(), w[:, 1].copy(), np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    hot = sorted((int(w), int(n), int(key)) for _, (numbers, counts, keys) in told for w, n, key in zip(numbers, counts, keys))
+    if texts > room:  # what stands before a text has no hash; these two match no word's
+        hot = [(FIRST, texts, FIRST), (BEGIN, texts, BEGIN), *hot]
+    split = Split(*(np.array([h[k] for h in hot], np.int64) for k in (0, 1)), np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
     words = words.where("block IS NOT NULL")
     if hot:
-        found = np.array([tuple(r) for r in hot_pairs(table, words, shards, split, room)], np.int64).reshape(-1, 3)
+        found = np.array([tuple(r) for r in hot_pairs(table, split, np.array([h[2] for h in hot], np.uint64), room)], np.int64).reshape(-1, 3)
         split = split._replace(pairs=found[:, :2].copy(), pair_counts=found[:, 2].copy())
     grams = checkpoint(trigram_answers(trigram_requests(table, words, shards, split), split, discount))
     release(spark)
