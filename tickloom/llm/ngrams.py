@@ -2,8 +2,8 @@
 
 The model interpolates: ``p(w | u v) = d3 + g3 (d2 + g2 p1(w))``. The d are discounted shares of seen grams, the g what
 the discount leaves in a context (``discount`` times its different words over its count), p1 the add-one share of the word.
-Probabilities of all words and one unknown word add up to 1. d and g are stored as 16-bit codes of their logarithm,
-4096 to a decade.
+Probabilities of all words and one unknown word add up to 1. d and g are stored as 12-bit codes of their logarithm,
+256 to a decade.
 
 Texts are cut into blocks of a few megabytes of words, and blocks ask for what they need in packed messages:
 
@@ -42,8 +42,8 @@ from tickloom.session import checkpoint, shared_dir
 
 ROOM = 1_200_000  # trigram places of a shard
 DISCOUNT = 0.9
-STEPS = 4096  # codes to a decade
-NOTHING = 65535  # the code of 0
+STEPS = 256  # codes to a decade
+NOTHING = 4095  # the code of 0
 # numbers of what is no word: before a text (twice), after it, and not in the model
 FIRST, BEGIN, AFTER, UNKNOWN = range(4)
 END = xxhash.xxh3_64_intdigest(b" end")  # no word holds a space
@@ -76,7 +76,7 @@ def unpack(body: bytes) -> list[np.ndarray]:
 
 
 def encode(p: np.ndarray) -> np.ndarray:
-    """16-bit codes of probabilities."""
+    """12-bit codes of probabilities, half a step off at most."""
     with np.errstate(divide="ignore"):
         code = np.rint(-STEPS * np.log10(p))
     return np.where(np.isfinite(code), np.clip(code, 0, NOTHING - 1), NOTHING).astype(np.uint16)
