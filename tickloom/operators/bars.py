@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,10 +20,36 @@ def bucket(ts: str | Column, seconds: int | Column, origin: int = 0) -> Column:
     return F.timestamp_seconds(second - F.pmod(second, seconds) + F.lit(origin))
 
 
+TICK_ORDER = "tick_order"
+
+
+def tick_order(ts: str | Column = "ts", symbol: str | Column | None = None, sequence: str | Column | None = None, price: str | Column = "price", size: str | Column = "qty") -> Column:
+    """One fixed-width key, DECIMAL(38,0), that orders ticks as they were traded: 19 digits of microseconds, then three
+    of the symbol, then 19 of the sequence.
+
+    Sequences are numbers of one symbol, so they only tell ticks of one symbol and instant apart. A tick without a
+    sequence gets a number from its price and size: the order is the same in every run, and never NULL where the
+    time isn't.
+    """
+    named = lambda c, none: F.lit(none) if c is None else F.col(c) if isinstance(c, str) else c
+    rank = F.pmod(F.crc32(F.coalesce(named(symbol, None).cast("string"), F.lit(""))), F.lit(1000))
+    stand_in = F.crc32(F.concat_ws("|", named(price, None).cast("string"), named(size, None).cast("string")))
+    number = F.greatest(F.coalesce(named(sequence, None).cast("long"), stand_in), F.lit(0))
+    digits = lambda c, n: c.cast(f"decimal({n},0)")
+    micros = F.unix_micros(named(ts, None))
+    return digits(digits(micros, 16) * F.lit(Decimal(10**22)) + (digits(rank, 3) * F.lit(Decimal(10**19)) + digits(number, 19)), 38)
+
+
+def order_of(ticks: DataFrame, seq: Sequence[str] | None = None) -> Sequence[str]:
+    """The columns that order ticks: those named, else the key of ``tick_order`` if there is one, else the arrival number."""
+    return seq or ((TICK_ORDER,) if TICK_ORDER in ticks.columns else ("tick_id",))
+
+
 def ohlcv_of_ticks(seq: Sequence[str] = ("tick_id",)) -> list[Column]:
-    """Open and close follow the arrival sequence. One fixed-width column keeps the
+    """Open and close follow the order of the ticks. One fixed-width column keeps the
     aggregation hash-based; several columns (a struct) make Spark sort before it."""
-    order = F.col(seq[0]) if len(seq) == 1 else F.struct(*seq)
+    # min_by skips rows without an order: they are the first ones, so that no open or close is lost
+    order = F.coalesce(F.col(seq[0]), F.lit(-1)) if len(seq) == 1 else F.struct(*seq)
     return [
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
@@ -33,16 +60,51 @@ def ohlcv_of_ticks(seq: Sequence[str] = ("tick_id",)) -> list[Column]:
 
 
 def ticks_to_bars(
-    ticks: DataFrame, seconds: int = 60, keys: Sequence[str] = ("token",), seq: Sequence[str] = ("tick_id",)
+    ticks: DataFrame, seconds: int = 60, keys: Sequence[str] = ("token",), seq: Sequence[str] | None = None
 ) -> DataFrame:
     """Ticks are pre-aggregated map-side, so a hot token ships one row per bucket and task."""
     return (
         ticks.groupBy(*keys, bucket("ts", seconds).alias("ts"))
-        .agg(*ohlcv_of_ticks(seq))
+        .agg(*ohlcv_of_ticks(order_of(ticks, seq)))
         .select(*keys, "ts", *OHLCV)
     )
 
 
+# ------------------------------------------------------------------ partial bars
+
+#: What of a bar can be merged: the ends' order keys beside their prices, the extremes, the sum.
+PARTIAL = ["first_order", "open", "high", "low", "last_order", "close", "volume"]
+
+
+def partial_bars(ticks: DataFrame, timeframes: dict[str, int], keys: Sequence[str] = ("token",), seq: Sequence[str] | None = None) -> DataFrame:
+    """(keys, tf, ts, partial columns) of some ticks for all timeframes {name: seconds}, each a multiple of the shortest.
+
+    Ticks meet once, in the shortest timeframe; the others merge those rows.
+    """
+    (order,) = order_of(ticks, seq)
+    key = F.coalesce(F.col(order).cast("decimal(38,0)"), F.lit(-1))
+    shortest = min(timeframes.values())
+    ends = [F.min(key).alias("first_order"), *ohlcv_of_ticks((order,)), F.max(key).alias("last_order")]
+    fine = ticks.groupBy(*keys, bucket("ts", shortest).alias("ts")).agg(*ends)
+    length = F.create_map(*[F.lit(x) for tf in timeframes.items() for x in tf])
+    fanned = fine.select(*keys, F.explode(F.array(*[F.lit(t) for t in timeframes])).alias("tf"), "ts", *PARTIAL)
+    return merge_partials(fanned.withColumn("ts", bucket("ts", length[F.col("tf")])), [*keys, "tf"])
+
+
+def merge_partials(partials: DataFrame, keys: Sequence[str] = ("token", "tf")) -> DataFrame:
+    """One row per bar of any number of its parts, whatever their order: parts of late ticks mend open and close."""
+    merged = partials.groupBy(*keys, "ts").agg(
+        F.min("first_order").alias("first_order"),
+        F.min_by("open", "first_order").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max("last_order").alias("last_order"),
+        F.max_by("close", "last_order").alias("close"),
+        F.sum("volume").alias("volume"),
+    )
+    return merged.select(*keys, "ts", *PARTIAL)
+
+
 def resample(
     bars: DataFrame,
     timeframes: Sequence[str] = ("15m", "1h", "4h", "1d", "7d"),

@@ -115,16 +115,20 @@ def touched_partitions(stored: DataFrame, updates: DataFrame, partition: str, mo
 
 
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], partition: str, order: Sequence[str] | None = None) -> None:
-    """Merge a batch into a stored table: only the partitions the batch touches are read and
-    replaced. The merged rows are written beside the table first, because a job cannot
-    overwrite the files it reads; every call has a staging folder of its own and removes it."""
+    """Merge a batch into a stored table: only the partitions the batch touches are read and replaced."""
     stored = spark.read.parquet(path)
     current = touched_partitions(stored, updates, partition)
     merged = upsert(current, updates, keys, order).drop("action").select(*stored.columns)
+    replace_partitions(spark, path, merged, partition)
+
+
+def replace_partitions(spark: SparkSession, path: str, rows: DataFrame, partition: str) -> None:
+    """Put ``rows`` in the place of the partitions they fill. They may come from the table itself: they are written beside
+    it first, because a job cannot overwrite the files it reads; every call has a staging folder of its own and removes it."""
     staging = f"{path.rstrip('/')}_staging-{uuid.uuid4().hex}"
-    merged.write.mode("overwrite").partitionBy(partition).parquet(staging)
+    rows.write.mode("overwrite").partitionBy(partition).parquet(staging)
     (
-        spark.read.schema(stored.schema)
+        spark.read.schema(rows.schema)
         .parquet(staging)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

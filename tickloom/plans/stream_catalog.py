@@ -13,9 +13,9 @@ from tickloom.operators import labels as L, models as ML
 from tickloom.plans import bars_catalog as BC, features as feature_plan, trade_catalog
 from tickloom.plans.sql import with_views
 from tickloom.session import checkpoint, shared_dir
-from tickloom.sources import views as V
+from tickloom.sources import payloads as P, views as V
 from tickloom.sources.tables import out
-from tickloom.streaming import market as R
+from tickloom.streaming import market as R, positions as PM
 
 QUERIES, ORACLES = {}, {}
 
@@ -78,12 +78,49 @@ def stream_resample(spark, sf):
     return out(spark.read.parquet(f"{folder}/rows").drop("batch"))
 
 
+def _late_ticks(spark, sf):
+    """The ticks as files that arrive in five waves; every tenth tick comes with the last one, long after its bars closed."""
+    folder = _folder(spark, "arrivals")
+    ticks, files = V.ticks(spark, sf), spark.sparkContext.defaultParallelism
+    last = ticks.agg(F.max("tick_id")).first()[0] or 0
+    wave = F.when(F.col("tick_id") % 10 == 3, 4).otherwise(F.floor(F.col("tick_id") * 4 / (last + 1)).cast("int"))
+    for k in range(5):
+        ticks.filter(wave == k).repartition(files).write.mode("append").parquet(folder)
+    return R.tick_stream(spark, folder, ticks.schema, files)
+
+
+@query(
+    with_views("ticks", "bars")
+    + """SELECT token, '1m' AS tf, time_bucket(INTERVAL '1 minute', ts) AS ts, arg_min(price, tick_id) AS open, max(price) AS high, min(price) AS low,
+    arg_max(price, tick_id) AS close, sum(qty) AS volume FROM ticks GROUP BY 1, 2, 3 UNION ALL SELECT * FROM bars"""
+)
+def stream_late_bars(spark, sf):
+    """Bars of five timeframes from ticks of which a tenth is weeks late."""
+    folder = _folder(spark, "late")
+    R.start(_late_ticks(spark, sf), R.mergeable_sink(folder, ["1m", "1h", "4h", "1d", "7d"]), f"{folder}/state").awaitTermination()
+    return out(R.stored_bars(spark, folder))
+
+
+@query(f"WITH t AS ({trade_catalog.trade_ticks()}), b AS ({trade_catalog.trade_bars_sql(3600)}) SELECT * FROM b WHERE " + CLOSED.format(t="ts", s=3600, d=3600))
+def stream_trade_bars(spark, sf):
+    """Hourly bars of a stream of trade messages of two markets per token, some without a sequence."""
+    raw = R.tick_stream(spark, f"{sf}/[e]vents.parquet", spark.read.parquet(f"{sf}/events.parquet").schema)
+    ticks = P.decode_trades(trade_catalog.trade_messages(raw.withColumn("ts", F.col("ts").cast("timestamp"))))
+    return out(_run(spark, "trades", R.stream_bars(ticks, 3600, "1 hour").drop("_w")).drop("batch"))
+
+
 @query(trade_catalog.ORACLES["position_triggers"])
 def stream_triggers(spark, sf):
-    """Ticks arrive as a stream; half of the positions are opened while it runs."""
+    """Ticks and positions arrive as two streams in two waves; the state of what is open outlives the query between them."""
     folder = _folder(spark, "triggers")
-    R.start(_ticks(spark, sf), R.trigger_sink(lambda s: V.positions(s, sf), f"{folder}/rows"), f"{folder}/state").awaitTermination()
-    return out(spark.read.parquet(f"{folder}/rows").drop("batch"))
+    ticks, positions = V.ticks(spark, sf), V.positions(spark, sf).withColumnRenamed("entry_ts", "ts")
+    for late in (False, True):
+        wave = (F.col("ts") >= F.lit("2024-01-15").cast("timestamp")) == F.lit(late)
+        ticks.filter(wave).write.mode("append").parquet(f"{folder}/ticks")
+        positions.filter(wave).write.mode("append").parquet(f"{folder}/changes")
+        streams = (R.tick_stream(spark, f"{folder}/{name}", df.schema) for name, df in (("ticks", ticks), ("changes", positions)))
+        PM.run_monitor(spark, PM.monitored(*streams, delay="60 days"), f"{folder}/hits", f"{folder}/state").awaitTermination()
+    return out(spark.read.parquet(f"{folder}/hits"))
 
 
 @query()

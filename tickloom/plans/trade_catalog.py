@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from tickloom.functions import metrics as M, timeparse as TP
-from tickloom.operators import indicators as I, signals as S, store, trades as T
+from tickloom.operators import bars as B, indicators as I, signals as S, store, trades as T
 from tickloom.plans import bars_catalog as BC
 from tickloom.plans.model_catalog import closed
 from tickloom.plans.sql import indicator_views, with_views
@@ -148,7 +150,60 @@ def decode_trades(spark, sf):
         F.lit("1.5").alias("size"),
         F.col("event_id").alias("sequence"),
     )
-    return out(P.decode_trades(e.select(F.to_json(message).alias("value"))))
+    return out(P.decode_trades(e.select(F.to_json(message).alias("value"))).drop(B.TICK_ORDER))
+
+
+# Two markets trade every token, with numbers of their own that run against each other. Numbered messages are stamped to
+# 10 minutes only, so that many share an instant; a third of the messages have no number.
+MARKETS = ("BINANCE", "KRAKEN")
+EVENT_TYPES = ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW")
+
+
+def _market_symbol(market, token):
+    return F.concat(F.lit(market), F.lit("_SPOT_"), token, F.lit("_USDT"))
+
+
+def trade_messages(events):
+    """(value: trade message) of the events: market by whether the id is even, sequences that run against each other."""
+    second = F.col("event_id") % 2 == 1
+    symbol = F.when(second, _market_symbol(MARKETS[1], F.upper("event_type"))).otherwise(_market_symbol(MARKETS[0], F.upper("event_type")))
+    sequence = F.when(second, F.lit(10**12) - F.col("event_id")).otherwise(F.col("event_id"))
+    instant = F.when(F.col("event_id") % 3 > 0, F.timestamp_seconds(F.unix_seconds("ts") - F.pmod(F.unix_seconds("ts"), F.lit(600)))).otherwise(F.col("ts"))
+    message = F.struct(
+        F.lit("trade").alias("type"),
+        symbol.alias("symbol_id"),
+        F.concat(F.date_format(instant, ISO), F.lit("0Z")).alias("time_exchange"),
+        F.col("value").cast("string").alias("price"),
+        F.lit("1.5").alias("size"),
+        F.when(F.col("event_id") % 3 > 0, sequence).alias("sequence"),
+    )
+    return events.select(F.to_json(message).alias("value"))
+
+
+def _symbol_rank() -> str:
+    """CASE with the three digits of each market's symbol, for the event types there are."""
+    names = {f"{m}_SPOT_{t}_USDT" for m in MARKETS for t in EVENT_TYPES}
+    return "CASE symbol " + " ".join(f"WHEN '{n}' THEN {zlib.crc32(n.encode()) % 1000}" for n in sorted(names)) + " END"
+
+
+def trade_ticks(where: str = "true") -> str:
+    """Twin of the decoded messages: (token, ts, price, rank, seq)."""
+    return f"""SELECT upper(event_type) AS token, CASE WHEN event_id % 3 > 0 THEN time_bucket(INTERVAL '10 minutes', ts) ELSE ts END AS ts, value AS price, rank,
+    CASE WHEN event_id % 3 > 0 THEN CASE WHEN event_id % 2 = 1 THEN 1000000000000 - event_id ELSE event_id END END AS seq
+    FROM (SELECT *, {_symbol_rank()} AS rank FROM (SELECT *, CASE WHEN event_id % 2 = 1 THEN 'KRAKEN' ELSE 'BINANCE' END || '_SPOT_' || upper(event_type) || '_USDT' AS symbol FROM events)) WHERE {where}"""
+
+
+def trade_bars_sql(seconds: int, ticks: str = "t", bucket: str = "ts") -> str:
+    """Bars of the twin's ticks; the order of a tick is (instant, symbol, sequence)."""
+    order = "struct_pack(a := ts, b := rank, c := coalesce(seq, 0))"
+    return f"""SELECT token, time_bucket(INTERVAL '{seconds} seconds', ts, TIMESTAMP '1970-01-01') AS {bucket}, arg_min(price, {order}) AS open, max(price) AS high, min(price) AS low,
+    arg_max(price, {order}) AS close, count(*) * 1.5::DOUBLE AS volume FROM {ticks} GROUP BY 1, 2"""
+
+
+@query(f"WITH t AS ({trade_ticks()}) {trade_bars_sql(3600)}")
+def trade_bars(spark, sf):
+    """Hourly bars of trade messages of two markets per token, some without a sequence."""
+    return out(B.ticks_to_bars(P.decode_trades(trade_messages(_events(spark, sf))), 3600))
 
 
 # ------------------------------------------------------------------ time and value normalisation

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom import config
 from tickloom.functions.timeparse import iso_to_ts, parse_ts
+from tickloom.operators.bars import TICK_ORDER, tick_order
 
 QUOTE_ITEM = (
     "struct<timestamp: string, time_open: string, time: string, quote: map<string, struct<price: double>>, "
@@ -144,15 +145,17 @@ TRADE = "type string, symbol_id string, time_exchange string, price string, size
 
 def decode_trades(df: DataFrame, json: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Trade messages to ticks, for batch and streams; other messages and unusable trades
-    are dropped."""
+    are dropped. ``tick_order`` tells which tick came first, across symbols of a token and without a sequence."""
     # a generator keeps later filters from repeating the parse
     m = df.select(*keep, F.inline(F.array(F.from_json(json, TRADE)))).filter("type = 'trade'")
-    ticks = m.select(
+    read = m.withColumns({"_ts": iso_to_ts(F.col("time_exchange")), "_price": F.col("price").try_cast("double"), "_qty": F.col("size").try_cast("double")})
+    ticks = read.select(
         *keep,
         base_token("symbol_id").alias("token"),
-        F.timestamp_millis(F.unix_millis(iso_to_ts(F.col("time_exchange")))).alias("ts"),
-        F.col("price").try_cast("double").alias("price"),
-        F.col("size").try_cast("double").alias("qty"),
+        F.timestamp_millis(F.unix_millis("_ts")).alias("ts"),
+        F.col("_price").alias("price"),
+        F.col("_qty").alias("qty"),
         F.col("sequence").alias("tick_id"),
+        tick_order("_ts", "symbol_id", "sequence", "_price", "_qty").alias(TICK_ORDER),
     )
     return ticks.dropna(how="any", subset=["token", "ts", "price", "qty"]).filter(F.col("token") != "")

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.config import TIMEFRAMES
 from tickloom.operators import signals as S
 from tickloom.operators.asof import available_at
-from tickloom.operators.bars import OHLCV, ohlcv_of_ticks, resample
+from tickloom.operators.bars import OHLCV, PARTIAL, merge_partials, ohlcv_of_ticks, order_of, partial_bars, resample
 from tickloom.operators.indicators import indicators
-from tickloom.operators.store import upsert_table
-from tickloom.operators.trades import position_triggers
+from tickloom.operators.store import replace_partitions, touched_partitions, upsert_table
 from tickloom.plans.features import feature_table
-from tickloom.session import prepare
+from tickloom.session import checkpoint, prepare
 
 
 def tick_stream(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
@@ -23,11 +22,11 @@ def tick_stream(spark: SparkSession, path: str, schema, max_files: int = 1000) -
     return prepare(spark).readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def stream_bars(ticks: DataFrame, seconds: int = 60, delay: str = "1 minute", keys: Sequence[str] = ("token",), seq: Sequence[str] = ("tick_id",)) -> DataFrame:
+def stream_bars(ticks: DataFrame, seconds: int = 60, delay: str = "1 minute", keys: Sequence[str] = ("token",), seq: Sequence[str] | None = None) -> DataFrame:
     """Candles of closed windows. Ticks later than ``delay`` are dropped and counted by the
     query's ``numRowsDroppedByWatermark``; state holds open windows only."""
     window = F.window("ts", f"{seconds} seconds")
-    made = ticks.withWatermark("ts", delay).groupBy(window.alias("_w"), *keys).agg(*ohlcv_of_ticks(seq))
+    made = ticks.withWatermark("ts", delay).groupBy(window.alias("_w"), *keys).agg(*ohlcv_of_ticks(order_of(ticks, seq)))
     return made.select(*keys, F.col("_w.start").alias("ts"), "_w", *OHLCV)
 
 
@@ -44,49 +43,99 @@ def stream_resample(bars: DataFrame, timeframe: str, keys: Sequence[str] = ("tok
     return made.select(*keys, F.lit(timeframe).alias("tf"), F.col("_w2.start").alias("ts"), *OHLCV)
 
 
-def cascade_sink(path: str, timeframes: Sequence[str], seconds: int, keys: Sequence[str] = ("token",)) -> Callable[[DataFrame, int], None]:
-    """Sink of a stream of closed bars of ``seconds``: all coarser timeframes from that one
-    stream. Base bars go to ``path``/base; a coarser bar is written to ``path``/rows by the
-    batch whose bars reach its end, from the base bars of at most its own length."""
-    length = F.create_map(*[F.lit(x) for tf in timeframes for x in (tf, TIMEFRAMES[tf])])
-    longest = max(TIMEFRAMES[tf] for tf in timeframes)
+def _span(tf: Column, ts: Column, lengths: dict[str, int], bars: int) -> Column:
+    """Name of the partition of a bar: its timeframe and so many bars of that length."""
+    length = F.create_map(*[F.lit(x) for pair in lengths.items() for x in pair])[tf]
+    return F.concat_ws("-", tf, F.floor(F.unix_seconds(ts) / (length * bars)).cast("string"))
+
+
+def mergeable_sink(path: str, timeframes: Sequence[str], keys: Sequence[str] = ("token",), seq: Sequence[str] | None = None, span_bars: int = 1024) -> Callable[[DataFrame, int], None]:
+    """Sink of a tick stream: bars of all timeframes that ticks of any lateness mend.
+
+    A batch's ticks become partial bars, which merge with those stored in ``path``/bars. Only the partitions of bars that
+    the batch changes are read and replaced (``span_bars`` of one length each); base bars are not read again for coarser
+    ones. A stored row keeps what earlier batches made of the bar (``old``) beside the part of the last one (``new``), so a
+    replayed batch replaces its own part and counts once. ``stored_bars`` reads the bars.
+    """
+    lengths = {tf: TIMEFRAMES[tf] for tf in timeframes}
+    keys = [*keys, "tf"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.select(*keys, "ts", *OHLCV).write.mode("overwrite").parquet(f"{path}/base/batch={batch_id}")
-        stored = spark.read.parquet(f"{path}/base").filter(F.col("batch") <= batch_id)
-        end = F.max(F.unix_seconds("ts") + seconds)
-        reached = stored.agg(end.alias("now"), F.max(F.when(F.col("batch") < batch_id, F.unix_seconds("ts") + seconds)).alias("before")).first()
-        if reached.now is None:
+        made = checkpoint(partial_bars(batch, lengths, keys[:-1], seq))
+        if made.isEmpty():
             return
-        recent = stored if reached.before is None else stored.filter(F.unix_seconds("ts") >= reached.before - longest)
-        ends = F.unix_seconds("ts") + length[F.col("tf")]
-        made = resample(recent, timeframes, keys).filter(ends <= reached.now)
-        if reached.before is not None:
-            made = made.filter(ends > reached.before)
-        made.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        fresh = made.select(*keys, "ts", F.struct(*PARTIAL).alias("fresh"), _span(F.col("tf"), F.col("ts"), lengths, span_bars).alias("span"))
+        rows = fresh.select(*keys, "ts", F.lit(None).cast(fresh.schema["fresh"].dataType).alias("old"), F.col("fresh").alias("new"), F.lit(batch_id).cast("long").alias("batch"), "span")
+        if _exists(spark, f"{path}/bars"):
+            stored = touched_partitions(spark.read.schema(rows.schema).parquet(f"{path}/bars"), fresh, "span")
+            both = stored.join(fresh, [*keys, "ts", "span"], "full_outer")
+            again = F.col("batch") >= batch_id
+            # what this batch adds to: all that others brought
+            olds = F.filter(F.array(F.col("old"), F.when(~F.coalesce(again, F.lit(False)), F.col("new"))), lambda x: x.isNotNull())
+            kept = both.filter("fresh IS NULL").select(*rows.columns)
+            changed = both.filter("fresh IS NOT NULL").select(*keys, "ts", "fresh", "span", olds.alias("olds"))
+            merged = changed.withColumn("old", F.aggregate("olds", F.lit(None).cast(fresh.schema["fresh"].dataType), lambda acc, x: _joined(acc, x)))
+            rows = kept.unionByName(merged.select(*keys, "ts", "old", F.col("fresh").alias("new"), F.lit(batch_id).cast("long").alias("batch"), "span"))
+        replace_partitions(spark, f"{path}/bars", rows.hint("rebalance", "span"), "span")
 
     return run
 
 
-def trigger_sink(positions: Callable[[SparkSession], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """Sink of a tick stream: the first hit of every open position, written once per position.
+def _joined(a: Column, b: Column) -> Column:
+    """Two partial bars of one bar in one; either may be NULL."""
+    first = F.least(a["first_order"], b["first_order"]).eqNullSafe(a["first_order"])
+    last = F.greatest(a["last_order"], b["last_order"]).eqNullSafe(a["last_order"])
+    merged = F.struct(
+        F.least(a["first_order"], b["first_order"]).alias("first_order"),
+        F.when(first, a["open"]).otherwise(b["open"]).alias("open"),
+        F.greatest(a["high"], b["high"]).alias("high"),
+        F.least(a["low"], b["low"]).alias("low"),
+        F.greatest(a["last_order"], b["last_order"]).alias("last_order"),
+        F.when(last, a["close"]).otherwise(b["close"]).alias("close"),
+        (a["volume"] + b["volume"]).alias("volume"),
+    )
+    plain = F.struct(*[b[c].alias(c) for c in PARTIAL])
+    return F.when(a.isNull(), plain).otherwise(merged)
+
+
+def stored_bars(spark: SparkSession, path: str, keys: Sequence[str] = ("token",)) -> DataFrame:
+    """The bars that ``mergeable_sink`` has stored."""
+    rows = spark.read.parquet(f"{path}/bars")
+    parts = [rows.filter(F.col(p).isNotNull()).select(*keys, "tf", "ts", f"{p}.*") for p in ("old", "new")]
+    return merge_partials(parts[0].unionByName(parts[1]), [*keys, "tf"]).select(*keys, "tf", "ts", *OHLCV)
 
-    ``positions`` is read anew for every batch, so positions opened meanwhile are watched from
-    their entry on. Positions that an earlier batch has closed leave, so nothing is kept for
-    them and later ticks change nothing. Ticks meet positions through the block index.
-    """
+
+def cascade_sink(path: str, timeframes: Sequence[str], seconds: int, keys: Sequence[str] = ("token",)) -> Callable[[DataFrame, int], None]:
+    """Sink of a stream of closed bars of ``seconds``: all coarser timeframes from that one
+    stream. Base bars go to ``path``/base by span of the longest timeframe; a coarser bar is written to ``path``/rows by the
+    batch whose bars reach its end. A batch reads the spans of its own bars and those its open bars began in, no others,
+    and one number that the batch before left."""
+    length = F.create_map(*[F.lit(x) for tf in timeframes for x in (tf, TIMEFRAMES[tf])])
+    longest = max(TIMEFRAMES[tf] for tf in timeframes)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = positions(spark)
-        schema = T.StructType([known.schema["position_id"], T.StructField("batch", T.LongType())])
-        closed = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path) if _exists(spark, path) else None
-        if closed is not None:
-            # a replayed batch doesn't count what it wrote itself
-            known = known.join(closed.filter(F.col("batch") < batch_id).select("position_id"), "position_id", "left_anti")
-        made = position_triggers(known, batch)
-        made.select("position_id", "token", "direction", "trigger_ts", "trigger_price", "reason").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        span = F.floor(F.unix_seconds("ts") / longest).alias("span")
+        batch.select(*keys, "ts", *OHLCV, span).write.mode("overwrite").partitionBy("span").parquet(f"{path}/base/batch={batch_id}")
+        earlier = None
+        if batch_id > 0 and _exists(spark, f"{path}/reached/batch={batch_id - 1}"):
+            earlier = spark.read.parquet(f"{path}/reached/batch={batch_id - 1}").first().now
+        now = spark.read.schema(batch.schema).parquet(f"{path}/base/batch={batch_id}").agg(F.max(F.unix_seconds("ts") + seconds)).first()[0]
+        reached = max((t for t in (earlier, now) if t is not None), default=None)
+        spark.createDataFrame([(reached,)], "now long").coalesce(1).write.mode("overwrite").parquet(f"{path}/reached/batch={batch_id}")
+        if now is None or reached == earlier:
+            return
+        named = [*batch.select(*keys, "ts", *OHLCV).schema, T.StructField("batch", T.LongType()), T.StructField("span", T.LongType())]
+        stored = spark.read.schema(T.StructType(named)).parquet(f"{path}/base")
+        recent = stored.filter(F.col("batch") <= batch_id)
+        if earlier is not None:
+            recent = recent.filter((F.col("span") >= (earlier - longest) // longest) & (F.unix_seconds("ts") >= earlier - longest))
+        ends = F.unix_seconds("ts") + length[F.col("tf")]
+        made = resample(recent, timeframes, keys).filter(ends <= reached)
+        if earlier is not None:
+            made = made.filter(ends > earlier)
+        made.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     return run
 
