@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.config import EVENT_FLAG, LABEL_HORIZONS, TIMEFRAMES
-from tickloom.operators import labels as L, models as ML
+from tickloom.operators import labels as L, models as ML, scorer as SC
 from tickloom.plans import bars_catalog as BC, features as feature_plan, trade_catalog
 from tickloom.plans.sql import with_views
 from tickloom.session import checkpoint, shared_dir
@@ -207,3 +207,37 @@ def train_score(spark, sf):
 @query()
 def model_metrics(spark, sf):
     return ML.score_metrics(_scores(spark, sf), ["horizon"])
+
+
+# A linear model per horizon, as a user would bring one: class -> intercept and weights of a bar's return, range and volume.
+CLASS_LABELS = {-1: "OPEN_SHORT", 0: "HOLD", 1: "OPEN_LONG"}
+BAR_FEATURES = {"ret": "(close - open) / open", "span": "(high - low) / open", "lots": "ln(1 + volume)"}
+LINEAR = {
+    "1h": {-1: (0.1, -1.5, 0.2, 0.05), 0: (0.0, 0.0, -0.3, 0.1), 1: (0.1, 1.5, 0.2, 0.05)},
+    "4h": {-1: (0.2, -0.75, 0.1, 0.02), 0: (0.3, 0.1, -0.1, 0.0), 1: (0.2, 0.75, 0.1, 0.02)},
+    "1d": {-1: (0.0, -0.5, 0.0, 0.0), 0: (0.5, 0.0, 0.0, -0.01), 1: (0.0, 0.5, 0.0, 0.0)},
+}
+_Z = " UNION ALL ".join(
+    f"SELECT token, tf, ts, '{CLASS_LABELS[c]}' AS label, {w[0]}::DOUBLE + {w[1]}::DOUBLE * ret + {w[2]}::DOUBLE * span + {w[3]}::DOUBLE * lots AS z FROM x WHERE tf = '{tf}'"
+    for tf, classes in LINEAR.items()
+    for c, w in classes.items()
+)
+
+
+@query(
+    with_views("bars")
+    + ", x AS (SELECT token, tf, ts, "
+    + ", ".join(f"{e} AS {n}" for n, e in BAR_FEATURES.items())
+    + f" FROM bars), z AS ({_Z}), "
+    + """e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY token, tf, ts)) AS e FROM z), p AS (SELECT *, e / sum(e) OVER (PARTITION BY token, tf, ts) AS prob FROM e)
+    SELECT token, ts, tf AS model, first_value(label) OVER (PARTITION BY token, tf, ts ORDER BY round(z, 9) DESC, CASE label WHEN 'OPEN_SHORT' THEN 0 WHEN 'HOLD' THEN 1 ELSE 2 END) AS pred,
+    label, round(prob, 9) AS prob FROM p"""
+)
+def user_model_scores(spark, sf):
+    """Every bar of three timeframes scored by its timeframe's linear model."""
+    features = V.bars(spark, sf).select("token", "tf", "ts", *[F.expr(e).alias(n) for n, e in BAR_FEATURES.items()])
+    models = {
+        tf: SC.LinearModel.of_rows([{"label": c, "feature": f, "weight": v} for c, w in classes.items() for f, v in zip((None, *BAR_FEATURES), w)]) for tf, classes in LINEAR.items()
+    }
+    made = SC.score_with(features, models, list(BAR_FEATURES), CLASS_LABELS, by="tf")
+    return out(made.withColumn("prob", F.round("prob", 9)))
