@@ -163,15 +163,19 @@ def sweep(
     params: Sequence[dict],
     keys: Sequence[str] = ("token", "tf"),
     null_head: bool = False,
+    more: dict[str, str] | None = None,
 ) -> DataFrame:
     """Many parameter rows over many timeframes as one job.
 
-    ``params`` rows are ``{"param_id", "tf", "rsi", "atr", "adx"}``; a window may be None.
+    ``params`` rows are ``{"param_id", "tf", "rsi", "atr", "adx"}``; a window may be None. ``more`` adds window expressions of
+    bar columns by name, with ``{n}``, ``{over}`` (the ordered series) and ``{rows}`` (its last n rows) in them; a row's ``more`` has
+    the n of each it wants. They share the blocks of the indicators.
     They are configuration, so they travel as literals, and every row has its own block layout.
     Bars of a timeframe without parameters are pruned.
     """
     if not params:
         raise KeyError("missing parameter rows: params")
+    more = more or {}
     names = [k for k in ("rsi", "atr", "adx") if any(p.get(k) for p in params)]
     rows, rebase = [], False
     for p in params:
@@ -179,13 +183,19 @@ def sweep(
             if need not in p:
                 raise KeyError(f"missing parameter: params/{need}")
         windows = [int(p[k]) for k in names if p.get(k)]
-        size, before = series.layout(windows)
-        rebase |= size + before > min(series.reach(w) for w in windows)
+        back = max((int(n) for n in p.get("more", {}).values()), default=0)
+        if windows:
+            size, before = series.layout(windows)
+            size, before = size, max(before, back)
+            rebase |= size + before > min(series.reach(w) for w in windows)
+        else:
+            size, before = max(4096, 16 * back), back
         rows.append((p, size, before))
     number = lambda n: "CAST(NULL AS INT)" if n is None else str(int(n))
     choices = ", ".join(
         f"named_struct('param_id', '{p['param_id']}', '_ptf', '{p['tf']}', '_size', {size}L, '_before', {before}L"
         + "".join(f", '_n_{k}', {number(p.get(k))}" for k in names)
+        + "".join(f", '_m_{k}', {number(p.get('more', {}).get(k))}" for k in more)
         + ")"
         for p, size, before in rows
     )
@@ -196,13 +206,20 @@ def sweep(
     laid = series.blocked(fanned, "_size", "_before")
     all_keys = [*keys, "param_id"]
     column = lambda k: f"_n_{k}" if k in names else None
-    added = indicator_columns(laid, all_keys, "_size", "_before", column("rsi"), column("atr"), column("adx"), rebase, null_head)
+    added = laid
+    for name, expression in more.items():
+        wanted = sorted({int(p["more"][name]) for p in params if p.get("more", {}).get(name)})
+        frames = {n: {"n": n, "over": series.over(all_keys), "rows": series.over(all_keys, f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")} for n in wanted}
+        cases = " ".join(f"WHEN _m_{name} = {n} AND {POS} >= {n - 1} THEN {expression.format(**frame)}" for n, frame in frames.items())
+        added = added.withColumn(name, F.expr(f"CASE {cases} END") if cases else F.lit(None).cast("double"))
+    if names:
+        added = indicator_columns(added, all_keys, "_size", "_before", column("rsi"), column("atr"), column("adx"), rebase, null_head)
     outputs = {"rsi": ["rsi"], "atr": ["atr"], "adx": ["adx", "adx_pos", "adx_neg"]}
     optional = [k for k in names if any(not p.get(k) for p in params)]
     if optional:
         added = added.withColumns({c: F.expr(f"CASE WHEN _n_{k} IS NOT NULL THEN {c} END") for k in optional for c in outputs[k]})
-    done = series.own(added, POS, "_size", "_before", *[f"_n_{k}" for k in names])
-    return of_whole(done, *[c for k in names for c in outputs[k]])
+    done = series.own(added, POS, "_size", "_before", *[f"_n_{k}" for k in names], *[f"_m_{k}" for k in more])
+    return of_whole(done, *[c for k in names for c in outputs[k]], *more)
 
 
 def lag_features(df: DataFrame, columns: Sequence[str], lags: Sequence[int] = (1, 2, 4), keys: Sequence[str] = ("token",)) -> DataFrame:

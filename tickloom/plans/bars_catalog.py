@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.config import FEATURES
 from tickloom.functions import temporal, timeparse
 from tickloom.operators import asof, bars as B, indicators as I, series, store
+from tickloom.operators.registry import Feature, settings_of, standard_features
 from tickloom.plans import features as feature_plan
 from tickloom.plans.sql import BAR_AGG, ewm_view, indicator_views, with_views
 from tickloom.sources import views as V
@@ -351,31 +352,43 @@ def event_flag(spark, sf):
 
 # ------------------------------------------------------------------ feature table
 
-FT_PARAMS = ", ".join(
-    f"('{h}', '{V.HORIZON_ROLES[role]}', '{role}', {n[0] or 14}, {n[1]}, {n[2]})" for h, per in V.WINDOWS.items() for role, n in per.items()
-)
-FT_SOURCE = f"""SELECT token, horizon || ':' || role AS grp, nr, na, nd, ts, open, high, low, close, volume, horizon, role FROM bars
-    JOIN (VALUES {FT_PARAMS}) p(horizon, tf, role, nr, na, nd) ON bars.tf = p.tf"""
 TREND = ("adx", "adx_pos", "adx_neg", "atr_normalized")
-FT_VIEWS = {
-    "src": FT_SOURCE,
-    **indicator_views("src"),
-    "ft": "SELECT *, atr / (close + 1e-9) * 100 AS atr_normalized, ts + CASE role WHEN '1h' THEN INTERVAL 4 HOUR WHEN '4h' THEN INTERVAL 1 DAY WHEN '1d' THEN INTERVAL 7 DAY ELSE INTERVAL 0 DAY END AS av FROM ind",
-    "ft_wide": "SELECT b.horizon, b.token, b.ts, b.rsi AS rsi_15m, "
-    + ", ".join(f"b.{c} AS {c}_15m" for c in TREND)
-    + ", "
-    + ", ".join(f"x{r_}.{c} AS {c}_{r_}" for r_ in ("1h", "4h", "1d") for c in TREND)
-    + " FROM (SELECT * FROM ft WHERE role = '15m') b "
-    + " ".join(f"ASOF LEFT JOIN (SELECT * FROM ft WHERE role = '{r_}') x{r_} ON x{r_}.horizon = b.horizon AND x{r_}.token = b.token AND b.ts >= x{r_}.av" for r_ in ("1h", "4h", "1d")),
-    **session_views("ft_wide"),
-}
+
+
+def ft_views(windows, more: dict[str, tuple[str, dict[str, int], str]] | None = None) -> dict[str, str]:
+    """Twin of the feature table. ``more``: column -> (role, n by horizon, expression with {n} and the window w)."""
+    more = more or {}
+    params = ", ".join(
+        f"('{h}', '{V.HORIZON_ROLES[role]}', '{role}', {n[0] or 14}, {n[1]}, {n[2]})" for h, per in windows.items() for role, n in per.items()
+    )
+    source = f"""SELECT token, horizon || ':' || role AS grp, nr, na, nd, ts, open, high, low, close, volume, horizon, role FROM bars
+    JOIN (VALUES {params}) p(horizon, tf, role, nr, na, nd) ON bars.tf = p.tf"""
+    case = lambda role, h, n, e: f"WHEN role = '{role}' AND horizon = '{h}' AND i >= {n - 1} THEN {e.format(n=n, back=n - 1)}"
+    added = "".join(f", CASE {' '.join(case(role, h, n, e) for h, n in per.items())} END AS {name}" for name, (role, per, e) in more.items())
+    wanted = {r_: [*[(c, f"{c}_{r_}") for c in TREND], *[(n, n) for n, (role, _, _) in more.items() if role == r_]] for r_ in ("15m", "1h", "4h", "1d")}
+    return {
+        "src": source,
+        **indicator_views("src"),
+        "ft": "SELECT *, atr / (close + 1e-9) * 100 AS atr_normalized, ts + CASE role WHEN '1h' THEN INTERVAL 4 HOUR WHEN '4h' THEN INTERVAL 1 DAY WHEN '1d' THEN INTERVAL 7 DAY ELSE INTERVAL 0 DAY END AS av"
+        + f"{added} FROM ind",
+        "ft_wide": "SELECT b.horizon, b.token, b.ts, b.rsi AS rsi_15m, "
+        + ", ".join(f"b.{c} AS {n}" for c, n in wanted["15m"])
+        + ", "
+        + ", ".join(f"x{r_}.{c} AS {n}" for r_ in ("1h", "4h", "1d") for c, n in wanted[r_])
+        + " FROM (SELECT * FROM ft WHERE role = '15m') b "
+        + " ".join(f"ASOF LEFT JOIN (SELECT * FROM ft WHERE role = '{r_}') x{r_} ON x{r_}.horizon = b.horizon AND x{r_}.token = b.token AND b.ts >= x{r_}.av" for r_ in ("1h", "4h", "1d")),
+        **session_views("ft_wide"),
+    }
+
+
+FT_VIEWS = ft_views(V.WINDOWS)
 FT_NUMBERS = ["rsi_15m"] + [f"{c}_{x}" for x in ("15m", "1h", "4h", "1d") for c in TREND]
 
 
-def _ft_sql(body: str) -> str:
-    return with_views("bars", "econ_events", recursive=True, extra=FT_VIEWS | {"full_ft": "SELECT horizon, token, ts, "
-        + ", ".join(f"round({c}, 5) AS {c}" for c in FT_NUMBERS) + f", {CYC}, {SESSION_COLUMNS}, {EVENT.format(t='c', us=43200000000)} AS economic_event FROM c WHERE "
-        + " AND ".join(f"{c} IS NOT NULL" for c in FT_NUMBERS)}) + body
+def _ft_sql(body: str, views: dict[str, str] = FT_VIEWS, more: tuple[str, ...] = ()) -> str:
+    return with_views("bars", "econ_events", recursive=True, extra=views | {"full_ft": "SELECT horizon, token, ts, "
+        + ", ".join(f"round({c}, 5) AS {c}" for c in [*FT_NUMBERS, *more]) + f", {CYC}, {SESSION_COLUMNS}, {EVENT.format(t='c', us=43200000000)} AS economic_event FROM c WHERE "
+        + " AND ".join(f"{c} IS NOT NULL" for c in [*FT_NUMBERS, *more])}) + body
 
 
 def _features(spark, sf):
@@ -396,3 +409,42 @@ def feature_table(spark, sf):
 @query(_ft_sql("SELECT * FROM full_ft QUALIFY row_number() OVER (PARTITION BY horizon, token ORDER BY ts DESC) = 1"))
 def latest_features(spark, sf):
     return _rounded(feature_plan.latest_features(_features(spark, sf)))
+
+
+# All three horizons, with two features that a user adds to the standard ones.
+OWN_WINDOWS = {"momentum_15m": {"1h": 3, "4h": 6, "8h": 12}, "volume_mean_4h": {"1h": 2, "4h": 3, "8h": 5}}
+OWN_FEATURES = (
+    Feature("momentum_15m", "15m", expression="close / lag(close, {n}) {over} - 1", inputs=("close",)),
+    Feature("volume_mean_4h", "4h", expression="avg(volume) {rows}", inputs=("volume",)),
+)
+SERIES = "(PARTITION BY token, grp ORDER BY ts"
+ALL_VIEWS = ft_views(
+    V.ALL_WINDOWS,
+    {
+        "momentum_15m": ("15m", OWN_WINDOWS["momentum_15m"], f"close / lag(close, {{n}}) OVER {SERIES}) - 1"),
+        "volume_mean_4h": ("4h", OWN_WINDOWS["volume_mean_4h"], f"avg(volume) OVER {SERIES} ROWS BETWEEN {{back}} PRECEDING AND CURRENT ROW)"),
+    },
+)
+
+
+def all_features(spark, sf, events=None):
+    """The feature table of all three horizons through the registry."""
+    settings = settings_of(V.ALL_WINDOWS)
+    for f in OWN_FEATURES:
+        for horizon, n in OWN_WINDOWS[f.name].items():
+            settings[horizon][f.role][f.name] = {"window": n}
+    return feature_plan.feature_table(V.bars(spark, sf), events, roles=V.HORIZON_ROLES, features=(*standard_features(), *OWN_FEATURES), settings=settings)
+
+
+def _all_rounded(df):
+    return out(df.selectExpr("horizon", "token", "ts", *[f"round({c}, {5 if c in [*FT_NUMBERS, *OWN_WINDOWS] else 9}) AS {c}" for c in [*FEATURES, *OWN_WINDOWS]], "economic_event"))
+
+
+@query(_ft_sql("SELECT * FROM full_ft", ALL_VIEWS, tuple(OWN_WINDOWS)))
+def feature_table_all(spark, sf):
+    return _all_rounded(all_features(spark, sf, V.econ_events(spark, sf).filter(asof.is_high_impact("impact"))))
+
+
+@query(_ft_sql("SELECT * FROM full_ft QUALIFY row_number() OVER (PARTITION BY horizon, token ORDER BY ts DESC) = 1", ALL_VIEWS, tuple(OWN_WINDOWS)))
+def latest_features_all(spark, sf):
+    return _all_rounded(feature_plan.latest_features(all_features(spark, sf, V.econ_events(spark, sf).filter(asof.is_high_impact("impact")))))

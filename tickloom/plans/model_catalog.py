@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.config import BARRIERS
+from tickloom.config import BARRIERS, LABEL_HORIZONS
 from tickloom.operators import backtest as K, dataset as D, labels as L, quality, store
 from tickloom.plans import bars_catalog as BC, features as feature_plan
 from tickloom.plans.sql import ewm_view, with_views
@@ -121,6 +121,25 @@ def training_set(spark, sf):
     return out(made.select("horizon", "token", "ts", r("rsi_15m", 5), r("atr_normalized_1h", 5), "target"))
 
 
+@query(
+    BC.with_views("bars", "econ_events", recursive=True, extra={
+        **BC.ALL_VIEWS,
+        **{k.replace("num", "lnum"): v for k, v in LABEL_VIEWS.items() if k == "num"},
+        "ltrs": BC.TRUE_RANGE.replace("FROM num", "FROM lnum"),
+        "ew": ewm_view("ltrs", "tr", 14, "atr"),
+        "bar": LABEL_VIEWS["bar"].replace("FROM trs t", "FROM ltrs t"),
+        **{k: LABEL_VIEWS[k] for k in ("fut", "tou", "lab")},
+    })
+    + """SELECT f.horizon, f.token, f.ts, round(f.rsi_15m, 5) AS rsi_15m, round(f.momentum_15m, 5) AS momentum_15m,
+    CASE f.horizon WHEN '1h' THEN target_1h WHEN '4h' THEN target_4h ELSE target_8h END AS target FROM ft_wide f JOIN lab ON lab.token = f.token AND lab.ts = f.ts WHERE """
+    + " AND ".join(f"f.{c} IS NOT NULL" for c in [*BC.FT_NUMBERS, *BC.OWN_WINDOWS])
+)
+def training_set_all(spark, sf):
+    """Features and labels of all three horizons."""
+    made = L.training_set(BC.all_features(spark, sf), L.barrier_labels(V.bars_1h(spark, sf), LABEL_HORIZONS), list(LABEL_HORIZONS))
+    return out(made.select("horizon", "token", "ts", r("rsi_15m", 5), r("momentum_15m", 5), "target"))
+
+
 # ------------------------------------------------------------------ split, weights, folds
 
 RANKED = """SELECT *, row_number() OVER (ORDER BY ts, token) - 1 AS k, count(*) OVER () AS n FROM bars_1h"""

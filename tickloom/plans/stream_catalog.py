@@ -181,14 +181,10 @@ def live_signals(spark, sf):
 # ------------------------------------------------------------------ models
 
 
-# The views' windows, and small ones for the horizon that they and the SQL twins leave out.
-WINDOWS = {**V.WINDOWS, "8h": {"15m": (14, 20, 20), "1h": (None, 14, 20), "4h": (None, 5, 5), "1d": (None, 2, 2)}}
-
-
 def _scores(spark, sf):
     """One model per horizon on all features and the event flag, every token and bar."""
     bars = V.bars(spark, sf)
-    features = feature_plan.feature_table(bars, V.econ_events(spark, sf), WINDOWS, V.HORIZON_ROLES)
+    features = feature_plan.feature_table(bars, V.econ_events(spark, sf), V.ALL_WINDOWS, V.HORIZON_ROLES)
     labels = L.barrier_labels(V.bars_1h(spark, sf), LABEL_HORIZONS)
     whole = checkpoint(L.training_set(features, labels, list(LABEL_HORIZONS)).withColumn(EVENT_FLAG, F.col(EVENT_FLAG).cast("double")))
     made = [

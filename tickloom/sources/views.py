@@ -16,6 +16,8 @@ WINDOWS = {
     "1h": {"15m": (14, 14, 10), "1h": (None, 14, 10), "4h": (None, 5, 5), "1d": (None, 2, 1)},
     "4h": {"15m": (14, 20, 14), "1h": (None, 14, 14), "4h": (None, 5, 4), "1d": (None, 2, 2)},
 }
+# The 8h horizon in the same style; queries over all three horizons have a SQL twin of their own.
+ALL_WINDOWS = {**WINDOWS, "8h": {"15m": (14, 20, 20), "1h": (None, 14, 20), "4h": (None, 5, 5), "1d": (None, 2, 2)}}
 
 
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
