@@ -24,6 +24,7 @@ named like the result's own.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -457,6 +458,13 @@ def trigram_answers(requests: DataFrame, split: Split, discount: float) -> DataF
 # ------------------------------------------------------------------ scores
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of finished stages removed. What held them is let go bit by bit, over a second or so."""
+    for _ in range(3):
+        release(spark)
+        time.sleep(0.4)
+
+
 def scored(table: DataFrame, words: DataFrame, grams: DataFrame, shards: int, split: Split, left2: np.ndarray, left3: np.ndarray, share2: np.ndarray, total: int, known: int) -> DataFrame:
     """Scores of all texts from the answers to their blocks; ``left2`` and ``left3`` are what split words and pairs leave to lower
     orders, ``share2`` the shares of split pairs."""
@@ -518,7 +526,7 @@ def score(docs: DataFrame, *keep: str | Column, text: str | Column = "text", tra
     texts = table.agg(F.coalesce(F.sum(F.size(F.filter("rows", lambda r: ~r["held_out"]))), F.lit(0))).first()[0]
     shards = max(1, -(-total // room))
     words = checkpoint(word_answers(word_requests(table, shards), shards, room))
-    release(spark)
+    let_go(spark)
     told = [(r.known, unpack(bytes(r.body))) for r in words.where("block IS NULL").select("known", "body").collect()]
     known = sum(k for k, _ in told)
     hot = sorted((int(w), int(n), int(key)) for _, (numbers, counts, keys) in told for w, n, key in zip(numbers, counts, keys))
@@ -530,7 +538,7 @@ def score(docs: DataFrame, *keep: str | Column, text: str | Column = "text", tra
         found = np.array([tuple(r) for r in hot_pairs(table, split, np.array([h[2] for h in hot], np.uint64), room)], np.int64).reshape(-1, 3)
         split = split._replace(pairs=found[:, :2].copy(), pair_counts=found[:, 2].copy())
     grams = checkpoint(trigram_answers(trigram_requests(table, words, shards, split), split, discount))
-    release(spark)
+    let_go(spark)
     followers: dict[tuple[int, int], int] = {}
     if hot:
         sums = grams.where("block IS NULL").groupBy("a", "b").agg(F.sum("followers").alias("n"))
