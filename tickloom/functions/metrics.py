@@ -80,7 +80,7 @@ def normalize_metrics(raw: DataFrame, metrics: Sequence[Metric] = tuple(METRICS)
         .select(*keys, "ts", "value", F.col("r")["metric"].alias("metric"), F.col("r")["_keep"].alias("_keep"), F.col("r")["_drop"].alias("_drop"))
     )
     longest = max(m.keep for m in metrics) + 1
-    ranked = Window.partitionBy(*keys, "metric").orderBy(F.col("ts").desc())
+    ranked = Window.partitionBy(*keys, "metric").orderBy(F.col("ts").desc(), F.col("value").desc())
     first = F.when(F.col("_drop"), 2).otherwise(1)
     last = F.col("_keep") + F.when(F.col("_drop"), 1).otherwise(0)
     bounded = (
@@ -98,6 +98,29 @@ def normalize_metrics(raw: DataFrame, metrics: Sequence[Metric] = tuple(METRICS)
     return made
 
 
+# Fixed order of sources of a series that has alternates.
+SOURCE_ORDER = {"mvrv_long_short_diff_usd_1d": ["mvrv_long_short_diff_usd", "mvrv"]}
+
+
+def prefer_sources(raw: DataFrame, order: dict[str, Sequence[str]] | None = None, keys: Sequence[str] = ("token",), per_row: bool = False) -> DataFrame:
+    """(keys, metric, ts, value, source) of metrics with several sources: all rows of the first source a series has a value of.
+
+    With ``per_row`` every timestamp takes its first source with a value instead. ``raw`` has (keys, source, ts, value); equal
+    timestamps of one source take the largest value. One aggregation; no row is compared with another.
+    """
+    order = order or SOURCE_ORDER
+    ranks = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(s).alias("s"), F.lit(i).alias("rank")) for m, sources in order.items() for i, s in enumerate(sources)])
+    wanted = sorted({s for sources in order.values() for s in sources})
+    known = raw.filter(F.col("source").isin(wanted)).withColumn("value", to_double("value")).filter(F.col("value").isNotNull() & F.col("ts").isNotNull())
+    rows = known.withColumn("_r", F.explode(F.filter(ranks, lambda r: r["s"] == F.col("source")))).select(*keys, "ts", "value", "source", "_r.metric", "_r.rank")
+    at = rows.groupBy(*keys, "metric", "ts").agg(F.max(F.struct((-F.col("rank")).alias("rank"), "value", "source")).alias("best"))
+    if per_row:
+        return at.select(*keys, "metric", "ts", "best.value", "best.source")
+    one = rows.groupBy(*keys, "metric", "ts", "rank", "source").agg(F.max("value").alias("value"))
+    first = rows.groupBy(*keys, "metric").agg(F.min("rank").alias("rank"))
+    return one.join(first, [*keys, "metric", "rank"]).select(*keys, "metric", "ts", "value", "source")
+
+
 def supply_estimate(circulating: Column, market_cap: Column, price: Column) -> Column:
     """Circulating supply, else market cap over price."""
     return F.coalesce(circulating, finite(F.try_divide(market_cap, price + F.lit(1e-12))))

@@ -9,38 +9,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom import config
 
 
-def _rank_cut(df: DataFrame, per_ts: DataFrame, share: float, ts: str, tie: Sequence[str], whole: bool, also: float = 0.0) -> Column:
-    """(ts, tie...) of the first row behind the first int(n*share)+int(n*also) rows."""
-    k = F.floor(F.col("_total") * F.lit(share)) + F.floor(F.col("_total") * F.lit(also))
-    marked = per_ts.withColumn("_k", k)
-    at = marked.filter((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_n")))
-    if whole:
-        return at.select(F.struct(ts)).scalar()
-    ranked = (
-        df.select(ts, *tie)
-        .join(F.broadcast(at.select(ts, (F.col("_k") - F.col("_before") + 1).alias("_want"))), ts)
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(ts).orderBy(*tie)))
-        .filter(F.col("_rank") == F.col("_want"))
-    )
-    return ranked.select(F.struct(ts, *tie)).scalar()
-
-
-def chrono_split(
-    df: DataFrame,
-    ts: str = "ts",
-    tie: Sequence[str] = ("token",),
-    train_and_val: float = config.SPLIT_TRAIN_AND_VAL,
-    val: float = config.SPLIT_VAL,
-    whole_timestamps: bool = False,
-) -> DataFrame:
-    """Add ``split`` (train, val, test) by global (ts, tie) order; ``tie`` must tell the rows
-    of one timestamp apart.
-
-    Ranks come from row counts per timestamp (cumulated over days, then inside each day);
-    only the rows of the two cut timestamps are ranked. The table itself is not shuffled: it
-    is compared with two scalar (ts, tie) cut points.
+def cut_points(
+    df: DataFrame, ts: str = "ts", tie: Sequence[str] = ("token",), train_and_val: float = config.SPLIT_TRAIN_AND_VAL, val: float = config.SPLIT_VAL, whole_timestamps: bool = False
+) -> Column:
+    """One scalar: ``first`` and ``second``, the (ts, tie...) behind the train rows and behind train and val, NULL where no row lies
+    behind, and ``newest``, the train rows' last ts (NULL if there is no ``first``).
+
+    Ranks come from row counts per timestamp, cumulated over days and then inside each day. Both cuts are found in that one
+    table, and the rows of their two timestamps are ranked in one further pass.
     """
-    share, rest = max(0.0, train_and_val - val), val
+    share = max(0.0, train_and_val - val)
     counts = df.groupBy(ts).agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", F.floor(F.unix_seconds(ts) / 86400))
     days = counts.groupBy("_day").agg(F.sum("_n").alias("_dn"))
     by_day = Window.partitionBy(F.lit(0)).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,15 +29,44 @@ def chrono_split(
         F.sum("_dn").over(Window.partitionBy(F.lit(0))).alias("_total"),
     )
     in_day = Window.partitionBy("_day").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    per_ts = counts.join(days, "_day").withColumn("_before", F.col("_base") + F.coalesce(F.sum("_n").over(in_day), F.lit(0)))
-    first = _rank_cut(df, per_ts, share, ts, tie, whole_timestamps)
-    second = _rank_cut(df, per_ts, share, ts, tie, whole_timestamps, rest)
+    before = F.col("_base") + F.coalesce(F.sum("_n").over(in_day), F.lit(0))
+    k1 = F.floor(F.col("_total") * F.lit(share))
+    per_ts = counts.join(days, "_day").select(ts, "_n", before.alias("_before"), k1.alias("_k1"), (k1 + F.floor(F.col("_total") * F.lit(val))).alias("_k2"))
+
+    def spot(k: str) -> Column:
+        inside = (F.col("_before") <= F.col(k)) & (F.col(k) < F.col("_before") + F.col("_n"))
+        return F.max(F.when(inside, F.struct(F.col(ts).alias("ts"), (F.col(k) - F.col("_before") + 1).alias("want"))))
+
+    trained = F.col("_before") + F.col("_n") <= F.col("_k1") if whole_timestamps else F.col("_before") < F.col("_k1")
+    spots = per_ts.agg(spot("_k1").alias("_a"), spot("_k2").alias("_b"), F.max(F.when(trained, F.col(ts))).alias("_newest"))
+    if whole_timestamps:
+        here = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.ts").alias(ts)))
+        return spots.select(F.struct(here("_a").alias("first"), here("_b").alias("second"), F.col("_newest").alias("newest"))).scalar()
+    # two timestamps at most; the joined table is one row
+    at = df.select(F.col(ts).alias("_ts"), F.struct(ts, *tie).alias("_row")).join(F.broadcast(spots), (F.col("_ts") == F.col("_a.ts")) | (F.col("_ts") == F.col("_b.ts")))
+    ranked = at.withColumn("_rank", F.row_number().over(Window.partitionBy("_ts").orderBy("_row")))
+    found = lambda c: F.max(F.when((F.col("_ts") == F.col(f"{c}.ts")) & (F.col("_rank") == F.col(f"{c}.want")), F.col("_row")))
+    return ranked.agg(found("_a").alias("first"), found("_b").alias("second"), F.max("_newest").alias("newest")).select(F.struct("first", "second", "newest")).scalar()
+
+
+def _part(cuts: str, ts: str, tie: Sequence[str], whole_timestamps: bool) -> Column:
     here = F.struct(ts) if whole_timestamps else F.struct(ts, *tie)
-    return (
-        df.withColumns({"_c1": first, "_c2": second})
-        .withColumn("split", F.when(F.col("_c1").isNull() | (here < F.col("_c1")), "train").when(F.col("_c2").isNull() | (here < F.col("_c2")), "val").otherwise("test"))
-        .drop("_c1", "_c2")
-    )
+    first, second = F.col(f"{cuts}.first"), F.col(f"{cuts}.second")
+    return F.when(first.isNull() | (here < first), "train").when(second.isNull() | (here < second), "val").otherwise("test")
+
+
+def chrono_split(
+    df: DataFrame,
+    ts: str = "ts",
+    tie: Sequence[str] = ("token",),
+    train_and_val: float = config.SPLIT_TRAIN_AND_VAL,
+    val: float = config.SPLIT_VAL,
+    whole_timestamps: bool = False,
+) -> DataFrame:
+    """Add ``split`` (train, val, test) by global (ts, tie) order; ``tie`` must tell the rows
+    of one timestamp apart. The table itself is not shuffled: it is compared with the cut points."""
+    cuts = cut_points(df, ts, tie, train_and_val, val, whole_timestamps)
+    return df.withColumn("_cuts", cuts).withColumn("split", _part("_cuts", ts, tie, whole_timestamps)).drop("_cuts")
 
 
 def decay_weight(ts: str | Column, newest: Column, half_life: float = config.DECAY_HALF_LIFE_MONTHS, floor: float = config.DECAY_FLOOR) -> Column:
@@ -123,10 +130,12 @@ def feature_columns(columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c not in {"ts", "open", "high", "low", "close"} and not c.startswith("target_")]
 
 
-def prepared(df: DataFrame, target: str, folds: DataFrame | None = None, ts: str = "ts") -> DataFrame:
-    """Rows with a target, their split, their train weight and, with ``folds``, their folds."""
-    ready = chrono_split(df.filter(F.col(target).isNotNull()), ts)
-    ready = decay_weights(ready, F.col("split") == "train", ts)
+def prepared(df: DataFrame, target: str, folds: DataFrame | None = None, ts: str = "ts", tie: Sequence[str] = ("token",)) -> DataFrame:
+    """Rows with a target, their split, their train weight and, with ``folds``, their folds. Split and weights take one set of
+    cut points."""
+    ready = df.filter(F.col(target).isNotNull())
+    cut = ready.withColumn("_cuts", cut_points(ready, ts, tie)).withColumn("split", _part("_cuts", ts, tie, False))
+    ready = cut.withColumn("weight", F.when(F.col("split") == "train", decay_weight(ts, F.col("_cuts.newest")))).drop("_cuts")
     return assign_folds(ready, folds, ts) if folds is not None else ready
 
 

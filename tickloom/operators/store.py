@@ -17,11 +17,14 @@ SPEC_TYPES = {
     "float64": "double",
     "float32": "double",
     "double": "double",
+    "float": "double",
     "int64": "bigint",
     "int32": "int",
     "int": "int",
+    "boolean": "boolean",
     "bool": "boolean",
     "string": "string",
+    "str": "string",
 }
 
 
@@ -195,8 +198,8 @@ def union_common(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def conform(df: DataFrame, spec: dict[str, str]) -> DataFrame:
-    """Cast to the named types (unknown type: double), add missing columns, drop unknown."""
-    kind = lambda name: SPEC_TYPES.get(name, "double")
+    """Cast to the named types (in any case, blanks around them; unknown or no type: double), add missing columns, drop unknown."""
+    kind = lambda name: SPEC_TYPES.get((name or "").strip().lower(), "double")
     return df.select(
         *[
             (F.col(c).try_cast(kind(t)) if c in df.columns else F.lit(None).cast(kind(t))).alias(c)

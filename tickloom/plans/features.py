@@ -69,7 +69,10 @@ def feature_table(
     )
     horizons = ", ".join(f"'{h}'" for h in settings)
     spots = bars.filter(F.col("tf") == base).selectExpr("token", f"explode(array({horizons})) AS horizon", "unix_micros(ts) AS _at")
-    wide = asof_rows(rows, spots, higher, ["token", "horizon"], chunk=chunk_seconds * 1_000_000)
+    if higher:
+        wide = asof_rows(rows, spots, higher, ["token", "horizon"], chunk=chunk_seconds * 1_000_000)
+    else:
+        wide = rows.filter("_side = 1").select("_left.*")
 
     # unusable numbers go before the (never missing) time features are added
     numbers = [c for r in ("15m", *higher) for c in made_of[r]]

@@ -304,6 +304,65 @@ def symbol_lookup(spark, sf):
     return c.select("c_custkey", P.provider_symbol(token).alias("symbol"))
 
 
+@query(
+    """WITH d AS (SELECT upper(c_mktsegment) AS token, 'MARKET' || (c_custkey % 5) || '_SPOT_' || c_mktsegment AS symbol, c_custkey % 7 AS valid_from FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+    k AS (SELECT token, min(symbol) AS symbol FROM d WHERE valid_from = (SELECT max(valid_from) FROM d e WHERE e.token = d.token) GROUP BY token)
+    SELECT c_custkey, coalesce(symbol, 'BINANCE_SPOT_' || upper(c_mktsegment) || '_USDT') AS symbol FROM customer LEFT JOIN k ON token = upper(c_mktsegment)"""
+)
+def symbol_dimension(spark, sf):
+    """Symbols from a dimension table with several versions per token, and none for one token."""
+    c = table(spark, sf, "customer")
+    market = F.concat(F.lit("MARKET"), (F.col("c_custkey") % 5).cast("string"), F.lit("_SPOT_"), F.col("c_mktsegment"))
+    dimension = c.filter("c_mktsegment <> 'MACHINERY'").select(F.col("c_mktsegment").alias("token"), market.alias("symbol"), (F.col("c_custkey") % 7).alias("valid_from"))
+    return P.with_symbols(c.select("c_custkey", F.lower("c_mktsegment").alias("token")), dimension).select("c_custkey", "symbol")
+
+
+_SOURCES = """WITH raw AS (SELECT token, ts, CASE WHEN token IN ('view', 'click') AND hour(ts) % 2 = 0 THEN 'mvrv_long_short_diff_usd' ELSE 'mvrv' END AS source, close AS value FROM bars_1h
+    UNION ALL SELECT token, ts, CASE WHEN token IN ('view', 'click') AND hour(ts) % 2 = 0 THEN 'mvrv' ELSE 'other' END, open FROM bars_1h),
+    r AS (SELECT *, CASE source WHEN 'mvrv_long_short_diff_usd' THEN 0 WHEN 'mvrv' THEN 1 END AS rank FROM raw WHERE source <> 'other')"""
+
+
+def _two_sources(spark, sf):
+    b = V.bars_1h(spark, sf)
+    both = F.col("token").isin("view", "click") & (F.hour("ts") % 2 == 0)
+    one = b.select("token", "ts", F.when(both, "mvrv_long_short_diff_usd").otherwise("mvrv").alias("source"), F.col("close").alias("value"))
+    return one.unionByName(b.select("token", "ts", F.when(both, "mvrv").otherwise("other").alias("source"), F.col("open").alias("value")))
+
+
+@query(
+    with_views("bars_1h").rstrip()
+    + _SOURCES.replace("WITH raw", ", raw")
+    + """ SELECT token, 'mvrv_long_short_diff_usd_1d' AS metric, ts, value, source FROM r WHERE rank = (SELECT min(rank) FROM r x WHERE x.token = r.token)"""
+)
+def source_priority(spark, sf):
+    """The second source serves only tokens that the first one doesn't have."""
+    return out(M.prefer_sources(_two_sources(spark, sf)))
+
+
+@query(
+    with_views("bars_1h").rstrip()
+    + _SOURCES.replace("WITH raw", ", raw")
+    + """ SELECT token, 'mvrv_long_short_diff_usd_1d' AS metric, ts, value, source FROM r QUALIFY row_number() OVER (PARTITION BY token, ts ORDER BY rank) = 1"""
+)
+def source_priority_rows(spark, sf):
+    """Equal timestamps of two sources take the first one."""
+    return out(M.prefer_sources(_two_sources(spark, sf), per_row=True))
+
+
+@query(with_views("bars_1h") + "SELECT token, date_trunc('millisecond', ts) AS ts, open, high, low, CASE WHEN hour(ts) = 7 THEN NULL ELSE close END AS close, volume FROM bars_1h WHERE hour(ts) <> 9")
+def tabular_download(spark, sf):
+    """A price table as downloads have it: a Datetime column, capitalised names, only an adjusted close, text cells."""
+    b = V.bars_1h(spark, sf)
+    text = lambda c: F.col(c).cast("string")
+    raw = b.select(
+        "token",
+        F.when(F.hour("ts") != 9, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))).otherwise("no time").alias("Datetime"),
+        text("open").alias("Open"), text("high").alias("High"), text("low").alias("Low"),
+        F.when(F.hour("ts") == 7, "-").otherwise(text("close")).alias("Adj Close"), text("volume").alias("Volume"),
+    )
+    return out(P.tabular(raw, ["token"]).drop("adj_close"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey::DOUBLE WHEN o_orderkey % 3 = 1 THEN round(o_totalprice / (o_custkey + 1 + 1e-12), 6) END AS supply FROM orders")
 def supply_estimate(spark, sf):
     o = table(spark, sf, "orders")
@@ -373,6 +432,28 @@ def liq_notional(spark, sf):
 # ------------------------------------------------------------------ storage
 
 
+@query(
+    with_views("bars_1h")
+    + """SELECT token, count(*) AS rows, sum(CASE WHEN hour(ts) = 4 OR volume < 2 THEN 1 ELSE 0 END)::BIGINT AS dropped FROM bars_1h GROUP BY token"""
+)
+def sanitize_report(spark, sf):
+    b = V.bars_1h(spark, sf)
+    rows = b.select("token", "ts", F.when(F.hour("ts") != 4, F.col("close")).alias("rsi_15m"), F.when(F.col("volume") >= 2, F.col("volume").cast("string")).otherwise("inf").alias("adx_15m"))
+    return store.sanitize_report(rows, ["rsi_15m", "adx_15m"])
+
+
+@query(
+    with_views("bars_1h")
+    + """SELECT token, ts, hour(ts) % 2 = 0 AS flag, 'x' || hour(ts) AS name, close AS price, hour(ts)::BIGINT AS n FROM bars_1h"""
+)
+def conform_names(spark, sf):
+    """Type names in any case, with blanks, by all of their names."""
+    b = V.bars_1h(spark, sf)
+    raw = b.select("token", "ts", (F.hour("ts") % 2 == 0).alias("flag"), F.concat(F.lit("x"), F.hour("ts").cast("string")).alias("name"), F.col("close").cast("string").alias("price"), F.hour("ts").cast("string").alias("n"))
+    spec = {"token": "string", "ts": "str", "flag": " Boolean ", "name": "STR", "price": "Float", "n": "Int64"}
+    return out(store.conform(raw.withColumn("ts", F.col("ts").cast("string")), spec).withColumn("ts", F.col("ts").cast("timestamp")))
+
+
 @query(
     """WITH t AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal, c_mktsegment AS seg FROM customer WHERE c_custkey % 3 < 2),
     u AS (SELECT c_custkey AS k, c_acctbal + CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS bal, c_mktsegment AS seg FROM customer WHERE c_custkey % 3 <> 1)

@@ -140,6 +140,44 @@ def provider_symbol(token: str | Column, symbols: dict[str, str] | None = None)
     return F.coalesce(F.try_element_at(pairs, upper), F.concat(F.lit("BINANCE_SPOT_"), upper, F.lit("_USDT")))
 
 
+def with_symbols(df: DataFrame, dimension: DataFrame, token: str = "token", name: str = "symbol", provider: str | None = None) -> DataFrame:
+    """Add the provider's symbol from a dimension table (token, symbol, optionally provider and valid_from), else the spot pattern.
+
+    Of several rows of a token the newest ``valid_from`` counts, of equal ones the smallest symbol. The dimension is reduced to one row
+    per token first; its size decides whether the join broadcasts it.
+    """
+    rows = dimension if provider is None else dimension.filter(F.col("provider") == provider)
+    newest = F.struct(F.col("valid_from") if "valid_from" in rows.columns else F.lit(0).alias("valid_from"))
+    ranked = rows.groupBy(F.upper("token").alias("_token")).agg(F.max(newest).alias("_at"), F.collect_set(F.struct(newest.alias("at"), "symbol")).alias("_all"))
+    known = ranked.select("_token", F.array_min(F.transform(F.filter("_all", lambda x: x["at"].eqNullSafe(F.col("_at"))), lambda x: x["symbol"])).alias("_symbol"))
+    joined = df.join(known, F.upper(F.col(token)) == F.col("_token"), "left")
+    spot = F.concat(F.lit("BINANCE_SPOT_"), F.upper(F.col(token)), F.lit("_USDT"))
+    return joined.withColumn(name, F.coalesce("_symbol", spot)).drop("_token", "_symbol")
+
+
+# Fixed names of a time column in downloads, and of their columns.
+TABULAR_TIMES = ("timestamp", "Date", "Datetime", "index", "date", "time")
+TABULAR_NAMES = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Adj Close": "adj_close", "Volume": "volume"}
+
+
+def tabular(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """A downloaded table of prices: its time column (by name, first found) as ts, columns under the bar table's names, doubles.
+
+    A table with only an adjusted close has it as close. Rows without a time are dropped; so are all rows of a table without a
+    time column. Cells that are no number are NULL.
+    """
+    time = pick(df, TABULAR_TIMES)
+    names = {c: TABULAR_NAMES.get(c, c) for c in df.columns}
+    columns: dict[str, Column] = {}
+    for c, name in names.items():
+        if name in ("open", "high", "low", "close", "adj_close", "volume") and name not in columns:
+            columns[name] = F.col(f"`{c}`").try_cast("double")
+    if "close" not in columns and "adj_close" in columns:
+        columns["close"] = columns["adj_close"]
+    ts = parse_ts(F.col(f"`{time}`").cast("string")) if time else F.lit(None).cast("timestamp")
+    return df.select(*keep, ts.alias("ts"), *[v.alias(k) for k, v in columns.items()]).filter(F.col("ts").isNotNull())
+
+
 TRADE = "type string, symbol_id string, time_exchange string, price string, size string, sequence long"
 
 
