@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.config import BARRIERS, LABEL_HORIZONS
-from tickloom.operators import backtest as K, dataset as D, labels as L, quality, store
+from tickloom.operators import backtest as K, dataset as D, labels as L, profile, quality, store
 from tickloom.plans import bars_catalog as BC, features as feature_plan
 from tickloom.plans.sql import ewm_view, with_views
+from tickloom.session import shared_dir
 from tickloom.sources import views as V
 from tickloom.sources.tables import out, table
 
@@ -441,3 +444,31 @@ def freshness(spark, sf):
 )
 def dataset_profile(spark, sf):
     return store.dataset_profile({"bars": V.bars_1h(spark, sf), "ticks": V.ticks(spark, sf), "signals": V.signals(spark, sf)}).drop("names")
+
+
+PROFILED = {"ret": "(close - open) / open", "span": "high - low", "volume": "CASE WHEN hour(ts) <> 5 THEN volume END", "level": "close"}
+_CELLS = " UNION ALL ".join(f"SELECT '{n}' AS feature, {e} AS x, day(ts) AS d FROM bars_1h" for n, e in PROFILED.items())
+
+
+@query(
+    with_views("bars_1h")
+    + f""", x AS ({_CELLS}), c AS (SELECT feature, CASE WHEN x IS NOT NULL THEN floor(sign(x) * ln(abs(x) + sqrt(x * x + 1)) * 16)::BIGINT END AS cell,
+    count(*) FILTER (d < 16) AS a, count(*) FILTER (d >= 16) AS b FROM x GROUP BY 1, 2),
+    r AS (SELECT feature, cell, least(greatest(floor(sqrt(count(*) OVER e)), 2), 20)::INTEGER AS parts, coalesce(sum(a) OVER (e ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(a) OVER e AS whole FROM c WHERE cell IS NOT NULL AND a > 0 WINDOW e AS (PARTITION BY feature)),
+    p AS (SELECT feature, cell, parts, (before * parts // whole)::INTEGER AS part FROM r),
+    j AS (SELECT c.*, p.parts, CASE WHEN c.cell IS NULL THEN -1 ELSE coalesce((SELECT arg_max(part, y.cell) FROM p y WHERE y.feature = c.feature AND y.cell <= c.cell), 0) END AS part
+    FROM c LEFT JOIN p ON p.feature = c.feature AND p.cell = c.cell),
+    g AS (SELECT feature, part, sum(a) AS a, sum(b) AS b, max(parts) AS parts FROM j GROUP BY 1, 2),
+    s AS (SELECT *, (a + 0.5) / (sum(a) OVER e + 0.5 * count(*) OVER e) AS p, (b + 0.5) / (sum(b) OVER e + 0.5 * count(*) OVER e) AS q FROM g WINDOW e AS (PARTITION BY feature))
+    SELECT feature, max(parts)::INTEGER AS parts, sum(a)::BIGINT AS n_reference, sum(b)::BIGINT AS n_current, coalesce(sum(a) FILTER (part = -1), 0)::BIGINT AS missing_reference,
+    coalesce(sum(b) FILTER (part = -1), 0)::BIGINT AS missing_current, round(sum((q - p) * ln(q / p)), 6) AS psi FROM s GROUP BY 1"""
+)
+def drift_profile(spark, sf):
+    """The second half of the month against the profile stored by two runs over the first."""
+    folder = f"{shared_dir(spark)}/profile-{uuid.uuid4().hex}"
+    rows = V.bars_1h(spark, sf).select(F.dayofmonth("ts").alias("d"), *[F.expr(e).alias(n) for n, e in PROFILED.items()])
+    for run, chosen in (("a", "d < 9"), ("b", "d >= 9 AND d < 16")):
+        profile.store_profile(profile.profile(rows.filter(chosen), list(PROFILED)), folder, run)
+    made = profile.drift(profile.stored_profile(spark, folder), profile.profile(rows.filter("d >= 16"), list(PROFILED)))
+    return made.withColumn("psi", F.round("psi", 6))
