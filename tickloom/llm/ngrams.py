@@ -164,7 +164,8 @@ def stored(table: DataFrame) -> DataFrame:
     """The blocks as a table in the shared folder, in buckets, so that answers come to them and they are not shuffled."""
     spark = table.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # no bucket holds more than an input partition does on average
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.rdd.getNumPartitions())
     table.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
