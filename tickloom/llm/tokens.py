@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.llm import words as W
 
-RUN = 512  # code points: longer words are tokenised in runs of this length
-REMEMBERED = 600_000  # words whose tokens a worker keeps
+REMEMBERED = 600_000  # words whose tokens a worker keeps, eight each on average
 
 METRICS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_byte_tokens long, "
@@ -95,24 +94,21 @@ class _Vocabularies:
 
     def tokens(self, distinct: list[str]) -> np.ndarray:
         """Places in this object's arrays of words as they stand after a space."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
             self._forget()
         new = [w for w in distinct if w not in self.known]
         if new:
-            runs = [w if len(w) <= RUN else w[i : i + RUN] for w in new for i in range(0, max(len(w), 1), RUN)]
-            per_word = np.array([max(1, -(-len(w) // RUN)) for w in new])
-            pieces = self.sp.encode(runs, num_threads=1)
-            lengths = np.fromiter(map(len, pieces), np.int64, len(runs))
+            pieces = self.sp.encode(new, num_threads=1)
+            lengths = np.fromiter(map(len, pieces), np.int64, len(new))
             flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(lengths.sum()))
             self.flat = np.concatenate([self.flat, flat])
             # words hold no line feed, so its token parts them
-            joined = np.array(self.bpe.encode_ordinary(" " + "\n ".join(runs) + "\n"))
+            joined = np.array(self.bpe.encode_ordinary(" " + "\n ".join(new) + "\n"))
             at = np.flatnonzero(joined == self.newline[0])
             counts = np.diff(np.concatenate([[-1], at])) - 1
-            first = np.concatenate([[0], np.cumsum(per_word)])[:-1]
             n_bytes = _per_text(self.byte_pieces[flat], np.concatenate([[0], np.cumsum(lengths)]))
             for name, each in (("lengths", lengths), ("counts", counts), ("n_bytes", n_bytes)):
-                setattr(self, name, np.concatenate([getattr(self, name), np.add.reduceat(each, first).astype(np.int32)]))
+                setattr(self, name, np.concatenate([getattr(self, name), each.astype(np.int32)]))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
 
