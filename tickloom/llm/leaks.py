@@ -12,8 +12,8 @@ dropped for being common.
 The items' seeds go to the executors in parts of bounded size, one pass over the documents for each, and
 each document is worked on by itself: nothing is dealt by seed, so no seed is hot.
 
-Null or empty texts and items have no seeds; items of fewer than five words are found as a whole only. Null
-ids stay null in the result; repeated rows give equal rows once; empty tables give no pairs.
+Null or empty texts and items have no seeds. Half of an item of one or two words is a single word, which tells
+nothing, so such items are found as a whole only. Null ids stay null in the result; repeated rows give equal rows once; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.llm import words as W
 from tickloom.session import checkpoint
 
-SEED_WORDS = 5  # shorter items are found as a whole only
+SEED_WORDS = 3  # shorter items are found as a whole only
 STEPS = (1, 2)  # from the first word of a pair to its second
 BITS = 1 << 24  # of the bitmap over the seeds: 2 MB
 ITEM_WORDS = 1 << 18  # of the items that are looked for in one pass: about 10 MB of index
