@@ -51,6 +51,11 @@ def test_fertility_agrees_with_the_vocabularies():
     counts = np.array(list(collections.Counter(pieces).values())) / len(pieces)
     assert got["entropy"][0] == pytest.approx(-(counts * np.log2(counts)).sum() / np.log2(len(pieces)))
     assert got["n_words"][1] == 0
+    for long in ("abcdefghij" * 103, "ab12-xy/" * 400):  # words are never cut
+        got = tokens.measures(pa.array([f"so {long}"]), tokens.Rules())
+        pieces = sp.encode("so") + sp.encode(long)
+        assert got["n_tokens"][0] == len(tokens._Vocabularies.of(tokens.Rules()).bpe.encode_ordinary(f" so {long}"))
+        assert got["chars_per_piece"][0] == pytest.approx((2 + len(long)) / len(pieces))
 
 
 def test_numbers_do_not_reject_short_prose(spark):
@@ -427,11 +432,13 @@ def test_leaks_of_common_seeds_stay(spark, prose):
 
 
 def test_leaks_equal_the_alignment_of_all_with_all(spark, prose):
-    items = [prose(n, 600 + n) for n in (5, 8, 17, 40, 40, 59)]
+    items = [prose(n, 600 + n) for n in (3, 4, 5, 8, 17, 40, 40, 59)]
     words = [i.split() for i in items]
     edits = [lambda w: [f"zz{i}" if i % 5 == 4 else x for i, x in enumerate(w)], lambda w: [f"zz{i}" if i % 3 == 2 else x for i, x in enumerate(w)]]
     edits += [lambda w: [y for i, x in enumerate(w) for y in (x, f"zz{i}")], lambda w: [x for i, x in enumerate(w) if i % 4], lambda w: w[: (len(w) + 1) // 2], lambda w: [x for i, x in enumerate(w) if i % 2]]
     texts = [" ".join([prose(30, 7 * k), *e(w), prose(30, 9 * k)]) for k, w in enumerate(words) for e in edits]
+    items.append("alpha beta gamma delta")
+    texts += ["so alpha beta gamma ends", "alpha or gamma", "alpha beta then delta", "only alpha here"]
     got = {(r.doc_id, r.item_id): r.score for r in leaks.leaks(docs_of(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), "doc_id").collect()}
     codes = {x: i for i, x in enumerate(sorted(set(" ".join(items + texts).split())))}
     coded = lambda t: np.array([codes[x] for x in t.split()])
@@ -489,3 +496,15 @@ def test_awkward_documents_have_no_leaks(spark, awkward, nothing):
     items = spark.createDataFrame([(1, "a plain sentence of ordinary words"), (2, None)], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in leaks.leaks(awkward, items, "doc_id").collect()] == [(1, 1)]
     assert leaks.leaks(nothing, items, "doc_id").count() == 0
+
+
+def test_short_and_letter_only_secrets_and_those_beside_base_spans(spark):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text")
+    tokens_ = ["qZxTvBkWmJpLrQdHsGfXyNcUoKi", "Zk3Qx9TtB2mVw8Lp", "Zk3Qx/deadbeefdeadbeef0/x9TtB2mVw8LpRzQ"]
+    plain = ["internationalisation", "usr/share/applications", "Donaudampfschifffahrtsgesellschaft", "12345678901234567890", "read_only_configuration_value"]
+    docs = docs_of(spark, [f"say {t} now" for t in tokens_ + plain]).union(real)
+    masked = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
+    assert [masked[i] for i in range(3)] == ["say [SECRET] now"] * 3
+    spans = {r.doc_id: r.spans for r in secrets.digest(docs, "doc_id").collect()}
+    assert "hex:10:27" in spans[2].split(",") and f"random:4:{4 + len(tokens_[2])}" in spans[2].split(",")
+    assert all("random" not in spans[3 + i] for i in range(len(plain)))

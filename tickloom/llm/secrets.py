@@ -2,8 +2,8 @@
 
 Patterns give the base spans (``assign``, ``access``, ``hex``), leftmost and without overlap per kind, of
 which those too short are dropped. Two first-order Markov models of characters, one of random strings and
-one of ordinary identifiers, are counted from labelled samples; a token whose log-likelihood ratio per
-transition is high enough is a further span (``random``) unless it overlaps a base span.
+one of ordinary identifiers, are counted from labelled samples; a token whose log-likelihood ratio is high
+enough, per transition and in all, is a further span (``random``) unless a base span holds all of it.
 
 The labelled samples are drawn from at most ``SAMPLE`` documents (those of smallest hash): their words,
 joined by underscores, mixed case or hyphens as identifiers are, stand for ordinary identifiers; digests
@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.llm.sampling import fewest
 
 SAMPLE = 2000
-LEAST_TOKEN = 20
+LEAST_TOKEN = 12
 LEAST_RATIO = 1.0  # nats per transition
+LEAST_EVIDENCE = 19.0  # nats in all: what 20 characters have at the least ratio, so shorter ones need more of it each
 
 # fixed values: the kinds, their patterns and least lengths
 KINDS = ("assign", "access", "hex", "random")
@@ -29,8 +30,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-# a run of the characters of keys, long enough, with a digit and a letter
-TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
+# a run of the characters of keys, long enough, with a letter: digits alone are numbers
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
+CODES = 128  # of ASCII: a transition's place is 128 times the first code and the second
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -110,24 +112,34 @@ def markov(labelled: DataFrame) -> DataFrame:
     return counts.join(totals, first == F.col("first")).select("pair", F.log(p("random", "all_random") / p("plain", "all_plain")).alias("ratio"))
 
 
+def _place(pair: Column) -> Column:
+    return F.ascii(pair) * CODES + F.ascii(F.substring(pair, 2, 1))
+
+
+def _laid_out(model: DataFrame) -> DataFrame:
+    """The ratios by place, 0 where there is none: one array of 16384 numbers in one row."""
+    places = model.sparkSession.range(0, CODES * CODES, 1, 1)
+    every = places.join(model.select(_place(F.col("pair")).cast("long").alias("id"), "ratio"), "id", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("ratio", F.lit(0.0)).alias("r")))), lambda x: x["r"]).alias("_model"))
+
+
 def scan(docs: DataFrame, *keep: str | Column, text: str = "text", least: float = LEAST_RATIO) -> DataFrame:
     """The columns ``keep`` with n_assign, n_access, n_hex, base and all spans as structs in ``found``."""
-    # the model has at most 68 * 68 pairs and becomes one map in one row
-    model = markov(samples(docs, text)).agg(F.map_from_entries(F.collect_list(F.struct("pair", "ratio"))).alias("_model"))
+    model = _laid_out(markov(samples(docs, text)))
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(*keep, whole.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     rows = rows.withColumn("_tokens", _spans(F.col("_text"), TOKEN, 3)).join(F.broadcast(model))
     names = [c for c in rows.columns if c not in ("_text", "_base", "_tokens", "_model")]
 
-    def apart(s: Column) -> Column:
-        return ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def fresh(s: Column) -> Column:
+        return ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
 
-    def ratio(s: Column) -> Column:
+    def random(s: Column) -> Column:
         token = F.substring(F.col("_text"), s["start"] + 1, s["end"] - s["start"])
-        total = F.aggregate(_pairs(token), F.lit(0.0), lambda acc, p: acc + F.coalesce(F.element_at("_model", p), F.lit(0.0)))
-        return total / (s["end"] - s["start"] - 1)
+        total = F.aggregate(_pairs(token), F.lit(0.0), lambda acc, p: acc + F.get("_model", _place(p)))
+        return total >= F.greatest(least * (s["end"] - s["start"] - 1), F.lit(LEAST_EVIDENCE))
 
-    extra = F.filter("_tokens", lambda s: apart(s) & (ratio(s) >= least))
+    extra = F.filter("_tokens", lambda s: fresh(s) & random(s))
     return rows.select(*names, "_text", "_base", F.array_sort(F.concat("_base", F.when(F.size("_tokens") > 0, extra).otherwise(F.col("_tokens")))).alias("_all"))
 
 
