@@ -153,3 +153,29 @@ def test_drift_is_exact_for_any_number_of_parts(frame):
         assert got.ks == pytest.approx(ks) and got.wasserstein == pytest.approx(w)
     same = quality.drift_level(quality.drift(fa, fa)).first()
     assert (same.drifted, same.level) == (0, "none")
+
+
+def test_sweep_scores_equal_one_backtest_for_each_set_and_fold(spark, frame):
+    """Overlapping folds, a token with most rows, repeated signals, and a set without any signal."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for token, n in (("hot", 700), ("t", 240)):
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+        rows += [(token, 3600 * i, float(c * 1.001), float(c * 1.01), float(c * 0.99), float(c)) for i, c in enumerate(close)]
+    b = bars(frame, rows)
+    sets = frame([("a", 0.01, 0.02), ("b", 0.05, 0.1), ("none", 0.01, 0.02)], "param_id string, stop double, target double")
+    picked = b.select("token", "ts", F.explode(F.expr("CASE WHEN s % 10800 = 0 THEN array('a', 'b', 'b') WHEN s % 7200 = 0 THEN array('b') ELSE array() END")).alias("param_id"))
+    folds = D.walk_forward_folds(b, 5, 4, 2, "day")
+    got = {(r.token, r.fold, r.param_id): r for r in K.sweep_scores(b, picked, sets, folds).collect()}
+    parts = D.assign_folds(b, folds).filter("part = 'val'")
+    want, wide = {}, parts.select("token", "fold").distinct().collect()
+    assert set(got) == {(r.token, r.fold, s.param_id) for r in wide for s in sets.collect()}
+    for s in sets.collect():
+        signals = D.assign_folds(picked.filter(F.col("param_id") == s.param_id).select("token", "ts").distinct(), folds).filter("part = 'val'")
+        taken = K.select_trades(K.candidate_trades(parts, signals, ["token", "fold"], s.stop, s.target), ["token", "fold"])
+        want |= {(r.token, r.fold, s.param_id): r for r in K.backtest_metrics(taken, parts, ["token", "fold"]).collect()}
+    assert sum(r.num_trades for r in got.values()) > 50 and {r.num_trades for k, r in got.items() if k[2] == "none"} == {0}
+    for k, r in got.items():
+        assert (r.num_trades, r.sharpe) == (want[k].num_trades, pytest.approx(want[k].sharpe, abs=1e-9))
+    means = {r.param_id: r.mean_score for r in K.fold_mean(K.sweep_scores(b, picked, sets, folds)).collect()}
+    assert means["none"] == 0.0 and means["a"] == pytest.approx(np.mean([r.sharpe for k, r in got.items() if k[2] == "a"]))

@@ -10,6 +10,7 @@ from tickloom import config
 from tickloom.operators import series
 from tickloom.operators.asof import asof_join
 from tickloom.operators.bars import drop_incomplete
+from tickloom.operators.dataset import assign_folds
 from tickloom.operators.first_hit import first_hit
 from tickloom.operators.series import POS
 from tickloom.session import checkpoint
@@ -25,26 +26,31 @@ def candidate_trades(
     bars: DataFrame,
     signals: DataFrame,
     keys: Sequence[str] = ("token",),
-    stop: float = config.BACKTEST_STOP,
-    target: float = config.BACKTEST_TARGET,
+    stop: float | str = config.BACKTEST_STOP,
+    target: float | str = config.BACKTEST_TARGET,
     slippage_pct: float = config.SLIPPAGE_PCT,
     fee_pct: float = config.TAKER_FEE_PCT,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """The trade every long signal would open on the next bar.
 
     The stop wins over the target inside one bar; the last bar is never tested; a trade
-    without a crossing closes at the last close.
+    without a crossing closes at the last close. ``by`` names columns that tell signals of one bar
+    apart (parameter sets, say): all of them share one series and one index. ``stop`` and ``target``
+    may name columns of the signals.
     """
-    keys = list(keys)
+    keys, by = list(keys), list(by)
+    own = [*by, *dict.fromkeys(c for c in (stop, target) if isinstance(c, str) and c not in by)]
+    stop, target = (F.col(c) if isinstance(c, str) else F.lit(c) for c in (stop, target))
     cost = (slippage_pct + fee_pct) / 100.0
     next_bar = {n: F.lead(c).over(series.block_window(keys)) for n, c in (("_next_open", "open"), ("entry_ts", "ts"))}
     placed = series.halo_windowed(bars.select(*keys, "ts", "open", "high", "low", "close"), keys, next_bar, after=1)
     last = bars.groupBy(*keys).agg(F.max_by("close", "ts").alias("_last_close"), F.max("ts").alias("_last_ts"))
     entry = F.col("_next_open") * (1.0 + slippage_pct / 100.0 + fee_pct / 100.0)
     probes = (
-        placed.join(signals.select(*keys, "ts"), [*keys, "ts"], "left_semi")
+        placed.join(signals.select(*keys, "ts", *own), [*keys, "ts"], "inner" if own else "left_semi")
         .filter(F.col("_next_open").isNotNull())
-        .select(*keys, F.col("ts").alias("signal_ts"), F.col(POS).alias("signal_pos"), (F.col(POS) + 1).alias("start_pos"), "entry_ts", entry.alias("entry_price"))
+        .select(*keys, *own, F.col("ts").alias("signal_ts"), F.col(POS).alias("signal_pos"), (F.col(POS) + 1).alias("start_pos"), "entry_ts", entry.alias("entry_price"))
         .withColumns({"lower": F.col("entry_price") * (1.0 - stop), "upper": F.col("entry_price") * (1.0 + target)})
     )
     tested = drop_incomplete(placed.select(*keys, "ts", POS, "low", "high"), 0, keys=keys)
@@ -53,6 +59,7 @@ def candidate_trades(
     raw = F.when(F.col("hit").isNull(), F.col("_last_close")).when(at_stop, F.col("lower")).otherwise(F.col("upper"))
     done = hit.select(
         *keys,
+        *by,
         "signal_ts",
         "signal_pos",
         "entry_ts",
@@ -162,3 +169,36 @@ def promotion(metrics: DataFrame, role: str = "role", keys: Sequence[str] = ("to
 def fold_mean(scores: DataFrame, by: Sequence[str] = ("param_id",), value: str = "sharpe") -> DataFrame:
     """Mean score over folds; a fold without a score counts as 0."""
     return scores.groupBy(*by).agg(F.avg(F.coalesce(F.col(value), F.lit(0.0))).alias("mean_score"))
+
+
+def sweep_scores(
+    bars: DataFrame,
+    signals: DataFrame,
+    sets: DataFrame,
+    folds: DataFrame,
+    keys: Sequence[str] = ("token",),
+    param: str = "param_id",
+    periods: float = config.BARS_PER_YEAR_15M,
+) -> DataFrame:
+    """(keys, fold, ``param``, num_trades, sharpe): every parameter set back-tested in the validation part of every fold, as one job.
+
+    ``signals`` has (keys, ts, ``param``), ``sets`` has (``param``, stop, target), one row each. A fold is a series of its own,
+    positioned and indexed once for all sets; sets meet the signals only. A set without trades in a fold scores 0 there;
+    a set without any signal still has its rows. ``sets`` and ``folds`` are configuration and travel as arrays in one row.
+    """
+    keys = [*keys, "fold"]
+    held = lambda df: assign_folds(df, folds).filter("part = 'val'").drop("part", "train_start", "train_end", "val_start", "val_end")
+    parts = held(bars.select(*keys[:-1], "ts", "open", "high", "low", "close"))
+    told = signals.select(*keys[:-1], "ts", param).dropDuplicates().join(F.broadcast(sets.select(param, "stop", "target")), param)
+    trades = select_trades(candidate_trades(parts, held(told), keys, "stop", "target", by=[param]), [*keys, param])
+    per_bar = trades.groupBy(*keys, param, "exit_ts").agg(F.sum("ret").alias("ret"), F.count(F.lit(1)).alias("n"))
+    gains = per_bar.groupBy(*keys, param).agg(F.sum("ret").alias("_r"), F.sum(F.col("ret") * F.col("ret")).alias("_rr"), F.sum("n").alias("num_trades"))
+    every = sets.agg(F.collect_set(param)).scalar()
+    spans = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(param, F.explode(every))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return spans.join(gains, [*keys, param], "left").select(
+        *keys,
+        param,
+        F.coalesce("num_trades", F.lit(0)).alias("num_trades"),
+        sharpe_of(zero("_r"), zero("_rr"), F.col("_n").cast("double"), periods).alias("sharpe"),
+    )

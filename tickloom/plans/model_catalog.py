@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tickloom.config import BARRIERS, LABEL_HORIZONS
-from tickloom.operators import backtest as K, dataset as D, labels as L, profile, quality, store
+from tickloom.operators import backtest as K, dataset as D, indicators as I, labels as L, profile, quality, store
 from tickloom.plans import bars_catalog as BC, features as feature_plan
 from tickloom.plans.sql import ewm_view, with_views
 from tickloom.session import shared_dir
@@ -300,6 +300,50 @@ def promotion(spark, sf):
     return K.promotion(roles).select("token", r("challenger_sharpe"), r("champion_sharpe"), "promote")
 
 
+# parameter sets: window of the strength index, level that opens a trade, stop and target
+SETS = [("a", 14, 55.5, 0.005, 0.01), ("b", 5, 62.5, 0.02, 0.05), ("c", 21, 45.5, 0.01, 0.3), ("d", 9, 101.5, 0.01, 0.02)]
+SWEEP_VIEWS = {
+    "sets": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {n}, {at}::DOUBLE, {s}::DOUBLE, {t}::DOUBLE)" for p, n, at, s, t in SETS) + ") v(param_id, nr, level, stop, target)",
+    "src": "SELECT token, param_id AS grp, nr, 14 AS na, 14 AS nd, ts, open, high, low, close, volume, param_id FROM bars_1h CROSS JOIN sets",
+    **BC.indicator_views("src"),
+    "folds": FOLDS_SQL,
+    "px": """SELECT token, fold, ts, open, high, low, close, row_number() OVER w - 1 AS i, lead(open) OVER w AS next_open, lead(ts) OVER w AS entry_ts,
+        count(*) OVER (PARTITION BY token, fold) AS n FROM bars_1h JOIN folds ON ts >= val_start AND ts < val_end WINDOW w AS (PARTITION BY token, fold ORDER BY ts)""",
+    "sig": f"""SELECT param_id, token, fold, i, next_open * {ENTRY} AS e, stop, target, n FROM px JOIN (SELECT token, ts, param_id, rsi FROM ind) USING (token, ts)
+        JOIN sets USING (param_id) WHERE next_open IS NOT NULL AND rsi > level""",
+    "hit": """SELECT s.param_id, s.token, s.fold, s.i, min(p.i) AS xi FROM sig s JOIN px p ON p.token = s.token AND p.fold = s.fold AND p.i > s.i AND p.i < s.n - 1
+        AND (p.low <= s.e * (1 - stop) OR p.high >= s.e * (1 + target)) GROUP BY 1, 2, 3, 4""",
+    "cand": """SELECT s.param_id, s.token, s.fold, s.i, h.xi, coalesce(x.ts, l.ts) AS exit_ts,
+        (CASE WHEN x.ts IS NULL THEN l.close WHEN x.low <= s.e * (1 - stop) THEN s.e * (1 - stop) ELSE s.e * (1 + target) END * (1 - 0.0009::DOUBLE) - s.e) / s.e AS ret
+        FROM sig s LEFT JOIN hit h USING (param_id, token, fold, i) LEFT JOIN px x ON x.token = s.token AND x.fold = s.fold AND x.i = h.xi
+        JOIN px l ON l.token = s.token AND l.fold = s.fold AND l.i = l.n - 1""",
+    "chain": """SELECT param_id, token, fold, min(i) AS i FROM cand GROUP BY 1, 2, 3
+        UNION ALL SELECT * FROM (SELECT c.param_id, c.token, c.fold, (SELECT min(d.i) FROM cand d WHERE d.param_id = c.param_id AND d.token = c.token AND d.fold = c.fold AND d.i > k.xi) AS i
+        FROM chain c JOIN cand k USING (param_id, token, fold, i) WHERE k.xi IS NOT NULL) WHERE i IS NOT NULL""",
+    "gain": "SELECT param_id, token, fold, exit_ts AS ts, sum(ret) AS x, count(*) AS n_trades FROM cand JOIN chain USING (param_id, token, fold, i) GROUP BY 1, 2, 3, 4",
+    "scores": """SELECT param_id, token, fold, sum(coalesce(n_trades, 0))::BIGINT AS num_trades,
+        coalesce(avg(coalesce(x, 0)) / nullif(stddev_samp(coalesce(x, 0)), 0) * sqrt(35040), 0) AS sharpe
+        FROM px CROSS JOIN sets LEFT JOIN gain USING (param_id, token, fold, ts) GROUP BY 1, 2, 3""",
+}
+
+
+def _sweep_scores(spark, sf):
+    sets = spark.createDataFrame(SETS, "param_id string, window int, level double, stop double, target double")
+    swept = I.sweep(V.bars_1h(spark, sf).withColumn("tf", F.lit("1h")), [{"param_id": p, "tf": "1h", "rsi": n} for p, n, *_ in SETS])
+    level = F.element_at(F.create_map(*[F.lit(x) for p, _, at, *_ in SETS for x in (p, at)]), F.col("param_id"))
+    return K.sweep_scores(V.bars_1h(spark, sf), swept.filter(F.col("rsi") > level), sets, _folds(spark, sf))
+
+
+@query(with_views("bars_1h", recursive=True, extra=SWEEP_VIEWS) + "SELECT param_id, token, fold::INTEGER AS fold, num_trades, round(sharpe, 6) AS sharpe FROM scores")
+def sweep_fold_scores(spark, sf):
+    return _sweep_scores(spark, sf).select("param_id", "token", "fold", "num_trades", r("sharpe"))
+
+
+@query(with_views("bars_1h", recursive=True, extra=SWEEP_VIEWS) + "SELECT param_id, round(avg(sharpe), 6) AS mean_score FROM scores GROUP BY 1")
+def sweep_evaluation(spark, sf):
+    return K.fold_mean(_sweep_scores(spark, sf)).select("param_id", r("mean_score"))
+
+
 CLOSED_SQL = with_views("closed")
 
 
