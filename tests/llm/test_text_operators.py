@@ -179,9 +179,10 @@ def near(texts, shingle, percent):
     return [find(i) for i in range(len(sets))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("shingle,percent,group", [(4, 85, 2048), (5, 80, 3), (2, 60, 5)])
-def test_jaccard_components(spark, prose, monkeypatch, shingle, percent, group):
+@pytest.mark.parametrize("shingle,percent,group,narrow", [(4, 85, 2048, 5), (5, 80, 3, 5), (2, 60, 5, 2)])
+def test_jaccard_components(spark, prose, monkeypatch, shingle, percent, group, narrow):
     monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "NARROW", narrow)
     rng = random.Random(shingle)
     texts = ["", None, "one two", "ONE two", "one", "  "]
     for family in range(6):
@@ -213,6 +214,19 @@ def test_every_link_shares_a_subtree():
                     assert len(np.intersect1d(jaccard.signatures(a, percent, load), jaccard.signatures(b, percent, load)))
 
 
+def test_chance_equals_of_narrow_hashes_make_no_link():
+    rng = np.random.default_rng(8)
+    a = np.unique(rng.integers(0, 1 << 63, 20, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[:18], a[18:19] ^ np.uint64(1), rng.integers(0, 1 << 63, 1, dtype=np.uint64)]))
+    seen = {w: jaccard.spanning([jaccard.unpacked(jaccard.packed(s, w), w) for s in (a, b)], np.array([[0, 1]]), 85, w) for w in (5, 8)}
+    assert seen == {5: ([], False), 8: ([], True)}
+    b = np.unique(np.concatenate([a[:19], b[-1:]]))
+    assert jaccard.spanning([a, b], np.array([[0, 1]]), 85) == ([(0, 1)], True)
+    x, y = (np.unique(rng.integers(0, 1 << 63, 1_500_000, dtype=np.uint64)) for _ in range(2))
+    equal = len(np.intersect1d(*(jaccard.unpacked(jaccard.packed(s, 5), 5) for s in (x, y))))
+    assert equal <= jaccard.by_chance(3_000_000, 5) < 60 and jaccard.by_chance(600, 5) == 1 and jaccard.by_chance(600, 8) == 0
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)

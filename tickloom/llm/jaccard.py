@@ -14,8 +14,10 @@ Trees. Subtrees of one smallest key (the pivot) form one tree: a set that shares
 once. The leaves are token bitmaps in order of size, inner nodes hold the OR of the bitmaps and the range of
 sizes, and a dual traversal drops node pairs whose maximum possible overlap is too small or whose sizes are
 too far apart. A tree that is part of another one is left out. Pairs of leaves that remain are compared shingle by
-shingle (40 bits of each hash) unless they are one component by now, so a
-tree of m sets returns at most m - 1 links.
+shingle unless they are one component by now, so a tree of m sets returns at most m - 1 links. Sets travel
+with 40 bits of each hash first: chance equals can only add to an intersection, so a pair that fails is no
+link, and one that passes by more than chance can give is a link. Where a pair between two components passes
+by less, its block is compared again on whole hashes.
 
 Trees of over ``GROUP`` sets (or as many shingles as ``GROUP`` sets of 512) are split in salted blocks that
 meet pairwise. No pair of copies and no pair inside a component is ever listed. A filter of fixed size is
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,6 +47,7 @@ from tickloom.llm.release import release
 from tickloom.session import checkpoint
 
 GROUP = 1024
+NARROW = 5  # bytes of each hash that the first comparison sees
 FANOUT = 8
 
 
@@ -89,17 +93,28 @@ def signatures(s: np.ndarray, percent: int, load: float) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
-def packed(s: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash: of 2700 pairs of sets of 20 000 shingles, one shares a hash by chance."""
-    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def packed(s: np.ndarray, width: int) -> bytes:
+    """The upper ``width`` bytes of each hash."""
+    return (s >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpacked(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+def unpacked(x: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(x) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(x, np.uint8).reshape(-1, width)
     return out.view("<u8").reshape(-1)
 
 
+@lru_cache(1 << 16)
+def by_chance(total: int, width: int) -> int:
+    """Equal hashes that two sets with ``total`` shingles together have by chance; more in one of 2^40 pairs at most."""
+    if width == 8:
+        return 0
+    expected, k = max(total, 1) ** 2 / 2 ** (8 * width + 1), 1
+    while k <= expected or k * (1 + math.log(expected / k)) - expected > -40 * math.log(2):
+        k += 1
+    return k - 1
+
+
 def _sets(cut: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
     ends, codes, distinct = W.split(cut.column("_text"), lower=True)
     return W.shingle_sets(ends, W.hashed(distinct)[codes], shingle)
@@ -140,7 +155,7 @@ def subtrees(docs: DataFrame, text: str = "text", shingle: int = 4, percent: int
     return docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "sig long, set long")
 
 
-def contents(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle: int = 4) -> DataFrame:
+def contents(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle: int = 4, width: int = NARROW) -> DataFrame:
     """(set, shingles) of the sets in ``wanted`` and of some others, once per task."""
     bits = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "set"))
 
@@ -153,7 +168,7 @@ def contents(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle: in
                     if passes(held, np.array([key]))[0]:
                         seen.add(key)
                         keys.append(key)
-                        sets.append(packed(s))
+                        sets.append(packed(s, width))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["set", "shingles"])
 
     return docs.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "set long, shingles binary")
@@ -215,8 +230,8 @@ def traverse(left: Tree, right: Tree, percent: int) -> np.ndarray:
         pairs = pairs[(pairs[:, 0] < len(left.levels[depth][1])) & (pairs[:, 1] < len(right.levels[depth][1]))]
 
 
-def spanning(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among the pairs (i, j) that join all that the pairs' links join; exact."""
+def spanning(sets: list[np.ndarray], pairs: np.ndarray, percent: int, width: int = 8) -> tuple[list[tuple[int, int]], bool]:
+    """Links among the pairs (i, j) that join all that the pairs' links join, and whether that is certain of hashes so wide."""
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -224,19 +239,30 @@ def spanning(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> list[tu
             root[x] = x = root[root[x]]
         return x
 
-    links = []
+    links, doubts = [], []
     for i, j in pairs.tolist():
         a, b = find(i), find(j)
-        if a != b and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= required(len(sets[i]) + len(sets[j]), percent):
-            root[b] = a
-            links.append((i, j))
-    return links
+        if a != b:
+            total = len(sets[i]) + len(sets[j])
+            spare = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) - int(required(total, percent))
+            if spare >= by_chance(total, width):
+                root[b] = a
+                links.append((i, j))
+            elif spare >= 0:
+                doubts.append((i, j))
+    return links, all(find(i) == find(j) for i, j in doubts)
+
+
+FOUND = "pivot long, i int, j int, a long, b long, certain boolean"
 
 
-def _search(percent: int):
+def _search(percent: int, width: int):
+    """Links of a block; in doubt, one row that says so."""
+
     def search(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["set", "side"])
-        sets = [unpacked(x) for x in group["shingles"]]
+        block = group.iloc[0][["pivot", "i", "j"]].astype(np.int64)
+        sets = [unpacked(x, width) for x in group["shingles"]]
         order = np.argsort([len(s) for s in sets], kind="stable")
         sets, keys, side = [sets[i] for i in order], group["set"].to_numpy()[order], group["side"].to_numpy()[order]
         maps = [bitmap(s) for s in sets]
@@ -252,8 +278,10 @@ def _search(percent: int):
             tree = Tree(bits, n)
             pairs = traverse(tree, tree, percent)
             pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-        links = spanning(sets, pairs, percent)
-        return pd.DataFrame({"a": keys[[i for i, _ in links]], "b": keys[[j for _, j in links]]}, dtype=np.int64)
+        links, certain = spanning(sets, pairs, percent, width)
+        links = links if certain else [(0, 0)]
+        out = pd.DataFrame({"a": keys[[i for i, _ in links]], "b": keys[[j for _, j in links]]}, dtype=np.int64)
+        return out.assign(pivot=block["pivot"], i=block["i"], j=block["j"], certain=certain)[["pivot", "i", "j", "a", "b", "certain"]]
 
     return search
 
@@ -284,8 +312,17 @@ def links(docs: DataFrame, sizes: DataFrame, text: str = "text", shingle: int =
     # block i meets block j once, i <= j; a block that meets itself is all on side 0
     dealt = members.join(blocks, "pivot").withColumn("own", own).withColumn("other", every)
     dealt = dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set")
-    full = dealt.join(contents(docs, members.select("set").distinct(), text, shingle), "set")
-    return full.groupBy("pivot", "i", "j").applyInPandas(_search(percent), "a long, b long")
+
+    def compared(dealt: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+        full = dealt.join(contents(docs, wanted.distinct(), text, shingle, width), "set")
+        return full.groupBy("pivot", "i", "j").applyInPandas(_search(percent, width), FOUND)
+
+    found = checkpoint(compared(dealt, members.select("set"), NARROW))
+    certain, doubt = found.where("certain").select("a", "b"), found.where("NOT certain").select("pivot", "i", "j")
+    if doubt.isEmpty():
+        return certain
+    again = checkpoint(dealt.join(doubt, ["pivot", "i", "j"]))
+    return certain.union(compared(again, again.select("set"), 8).select("a", "b"))
 
 
 def join(docs: DataFrame, *keep: str | Column, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
