@@ -65,6 +65,56 @@ def test_realised_pnl(frame):
     assert got == {1: (96.5, "CLOSED"), 2: (-103.5, "CLOSED"), 3: (None, "OPEN")}
 
 
+def test_trades_carry_their_exit(spark, frame):
+    both = "trade_id int, direction string, entry_price double, position_size double, exit_price double, exit_at string, fees double"
+    # trade 1 stands twice, 2 has no exit yet, 3 has no fees, 4 no exit price, 5 no id
+    rows = [(1, "long", 10.0, 2.0, 15.0, "2024-01-01", 1.0)] * 2 + [
+        (2, "long", 10.0, 2.0, 15.0, None, 1.0),
+        (3, "Short", 10.0, 2.0, 15.0, "2024-01-02", None),
+        (4, "long", 10.0, 2.0, None, "2024-01-02", 1.0),
+        (None, "long", 10.0, None, 15.0, "2024-01-02", 1.0),
+    ]
+    trades = frame(rows, both).withColumn("exit_ts", F.col("exit_at").cast("timestamp")).drop("exit_at")
+    made = T.close_trades(trades)
+    assert [(r.trade_id, r.exit_price, r.fees, r.pnl_usd, r.status) for r in made.collect()] == [
+        (1, 15.0, 1.0, 9.0, "CLOSED"),
+        (1, 15.0, 1.0, 9.0, "CLOSED"),
+        (2, None, None, None, "OPEN"),
+        (3, 15.0, None, -10.0, "CLOSED"),
+        (4, None, 1.0, None, "CLOSED"),
+        (None, 15.0, 1.0, -1.0, "CLOSED"),
+    ]
+    # where ids are unique and given, matching separate exits comes to the same
+    once = trades.dropDuplicates(["trade_id"]).filter("trade_id IS NOT NULL")
+    cols = ["trade_id", "exit_ts", "exit_price", "fees", "pnl_usd", "status"]
+    matched = T.close_trades(once.drop("exit_price", "exit_ts", "fees"), once.filter("exit_ts IS NOT NULL").select("trade_id", "exit_price", "exit_ts", "fees"))
+    assert sorted(map(str, matched.select(cols).collect())) == sorted(map(str, T.close_trades(once).select(cols).collect()))
+
+
+def test_close_trades_moves_the_lines_once(spark, tmp_path):
+    """Lines that stand twice are two trades, as in SQL; only the orders are joined, so lines cross the network once."""
+    import __spark_entry__ as entry
+    from compare import differences, duck
+
+    small = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").filter("l_orderkey < 50")
+    lines.union(lines).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duck(small)
+    con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    (tmp_path / "orders.parquet").symlink_to(f"{small}/orders.parquet")
+    name, threshold = "close_trades", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        made = entry.queries()[name](spark, str(tmp_path))
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("FileScan") == 2
+        got = made.toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = con.execute(entry.oracle_sql()[name]).df()
+    assert len(want) == 2 * lines.count() and differences(got, want) == []
+
+
 def test_kpis(frame):
     df = frame([(100.0, 1.0, 10.0, 1.0), (200.0, 0.5, -15.0, 0.5), (50.0, 2.0, 8.0, 0.0)], "entry_price double, position_size double, pnl_usd double, fees double")
     k = T.trade_kpis(df).first()

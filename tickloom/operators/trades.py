@@ -20,10 +20,17 @@ def realised_pnl(direction: Column, entry: Column, exit_: Column, size: Column,
     return F.when(F.lower(direction).isin(SHORT_WORDS), -gross).otherwise(gross) - F.coalesce(fees, F.lit(0.0))
 
 
-def close_trades(entries: DataFrame, exits: DataFrame) -> DataFrame:
-    """Fill exits into their trades: (trade_id, exit_price, exit_ts, fees) onto entries."""
-    joined = entries.join(exits.withColumn("_closed", F.lit(True)), "trade_id", "left")
-    return joined.withColumns(
+def close_trades(entries: DataFrame, exits: DataFrame | None = None) -> DataFrame:
+    """Fill exits into their trades: (trade_id, exit_price, exit_ts, fees) onto entries.
+
+    Without ``exits`` every entry carries its own exit columns and nothing is joined; an exit counts once it has an ``exit_ts``.
+    """
+    if exits is None:
+        closed = F.col("exit_ts").isNotNull()
+        filled = entries.withColumns({"_closed": closed, **{c: F.when(closed, F.col(c)) for c in ("exit_price", "fees")}})
+    else:
+        filled = entries.join(exits.withColumn("_closed", F.lit(True)), "trade_id", "left")
+    return filled.withColumns(
         {
             "pnl_usd": realised_pnl(*(F.col(c) for c in ("direction", "entry_price", "exit_price", "position_size", "fees"))),
             "status": F.when(F.col("_closed"), "CLOSED").otherwise("OPEN"),
