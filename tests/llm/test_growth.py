@@ -1,13 +1,15 @@
 """What operators send must follow the input, whatever its texts share."""
 
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from conftest_llm import docs_of
 
-from tickloom.llm import jaccard
+from tickloom.llm import jaccard, secrets
 
 
 def test_sets_that_share_a_frequent_passage_alone_are_never_sent_whole(spark, prose, monkeypatch):
@@ -62,3 +64,30 @@ def test_large_families_in_split_trees_stay_together(spark, prose, monkeypatch,
             texts.append(" ".join(copy))
     got = {r.doc_id: r.component_id for r in jaccard.join(docs_of(spark, texts), "doc_id", shingle=3, percent=60).collect()}
     assert got == {i: 0 if i < 25 else 25 for i in range(50)}
+
+
+def test_secret_scan_follows_the_length_of_runs_and_texts(spark):
+    """Each transition was cut from the whole token and each token from the whole text: minutes for these texts."""
+    rng = random.Random(4)
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=600_000))
+    key = "Zk3Qx9TtB2mVw8LpRzQ7"
+    texts = [f"a {long} b", f"{'read_only_configuration ' * 8000}{key}", "plain words and nothing else"]
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text")
+    began = time.monotonic()
+    got = {r.doc_id: r.spans.split(",") for r in secrets.digest(docs_of(spark, texts).union(real), "doc_id").where("doc_id < 3").collect()}
+    assert time.monotonic() - began < 60
+    assert "random:2:600002" in got[0] and got[1] == ["random:192000:192020"] and got[2] == [""]
+
+
+def test_runs_with_a_letter_are_the_tokens(spark):
+    token = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}"
+    rng = random.Random(6)
+    for _ in range(500):
+        text = "".join(rng.choices("aF0+-= .\u00e9", weights=(9, 3, 9, 3, 3, 3, 1, 1, 1), k=90))
+        assert [m.span() for m in re.finditer(token, text)] == [m.span() for m in re.finditer(secrets.RUN, text) if re.search("[A-Za-z]", m[0])]
+
+
+def test_secret_scan_searches_a_text_once_and_carries_no_model(spark, capsys):
+    docs = docs_of(spark, ["token = abcdefghijklmnop and deadbeefdeadbeef00"])
+    secrets.digest(docs, "doc_id").explain()
+    assert "NestedLoopJoin" not in capsys.readouterr().out

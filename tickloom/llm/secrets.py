@@ -9,13 +9,20 @@ The labelled samples are drawn from at most ``SAMPLE`` documents (those of small
 joined by underscores, mixed case or hyphens as identifiers are, stand for ordinary identifiers; digests
 of their words in base 64, letters and digits, or hexadecimal stand for random strings.
 
+A text is searched once for runs of the characters of keys; hexadecimal strings and tokens lie inside such runs, so
+their places are worked out only where a run holds one. The model, a number for each pair of key characters, is
+read by the driver and stands in the plan as one array.
+
 Spans count code points, end exclusive, as ``kind:start:end``. Null and empty texts have none. Ids may be
 null or repeated; each row is scanned by itself. Empty tables train on nothing and give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.llm.sampling import fewest
 
@@ -30,9 +37,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-# a run of the characters of keys, long enough, with a letter: digits alone are numbers
-TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
-CODES = 128  # of ASCII: a transition's place is 128 times the first code and the second
+# a run of the characters of keys, long enough: a search meets its first character first, so matches are whole runs
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_TOKEN},}}"
+LOW, CODES = ord("+"), ord("z") - ord("+") + 1  # of key characters: a transition's place is 80 times the first code and the second
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -56,14 +63,19 @@ def _spans(text: Column, pattern: str, kind: int, long_enough: Column | None = N
     return F.when(F.size(found) > 0, F.aggregate(steps, state, step, lambda acc: acc["spans"])).otherwise(none)
 
 
-def base_spans(text: Column) -> Column:
-    """The fixed patterns' spans in order of start, then kind."""
+def base_spans(text: Column, runs: Column) -> Column:
+    """The fixed patterns' spans in order of start, then kind; ``runs`` are the text's matches of ``RUN``."""
+    none = F.array().cast(SPAN)
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     assign = _spans(text, ASSIGN, 0, F.transform(values, lambda v: F.length(v) >= LEAST["assign"]))
+    assign = F.when(F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), assign).otherwise(none)
     # shorter runs fail, and no longer one can begin inside a run: the least length may stand in the pattern
     access = _spans(text, rf"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", 1)
+    access = F.when(F.contains(text, F.lit("AKIA")), access).otherwise(none)
     hexes = _spans(text, rf"[0-9a-f]{{{LEAST['hex']},}}", 2)
-    return F.array_sort(F.concat(assign, access, hexes))
+    hexes = F.when(F.exists(runs, lambda r: (F.length(r) >= LEAST["hex"]) & r.rlike(rf"[0-9a-f]{{{LEAST['hex']}}}")), hexes).otherwise(none)
+    found = F.concat(assign, access, hexes)
+    return F.when(F.size(found) > 1, F.array_sort(found)).otherwise(found)
 
 
 def _text(spans: Column) -> Column:
@@ -106,41 +118,46 @@ def markov(labelled: DataFrame) -> DataFrame:
     """
     pairs = labelled.where(F.length("sample") > 1).select("label", F.explode(_pairs(F.col("sample"))).alias("pair"))
     counts = pairs.groupBy("pair").agg(F.sum(F.lit(1) - F.col("label")).alias("plain"), F.sum("label").alias("random"))
-    first = F.substring("pair", 1, 1)
-    totals = counts.groupBy(first.alias("first")).agg(F.sum("plain").alias("all_plain"), F.sum("random").alias("all_random"))
-    p = lambda n, total: (F.col(n) + 0.5) / (F.col(total) + 34.0)
-    return counts.join(totals, first == F.col("first")).select("pair", F.log(p("random", "all_random") / p("plain", "all_plain")).alias("ratio"))
+    all_ = Window.partitionBy(F.substring("pair", 1, 1))
+    p = lambda n: (F.col(n) + 0.5) / (F.sum(n).over(all_) + 34.0)
+    return counts.select("pair", F.log(p("random") / p("plain")).alias("ratio"))
 
 
-def _place(pair: Column) -> Column:
-    return F.ascii(pair) * CODES + F.ascii(F.substring(pair, 2, 1))
+def _laid_out(model: DataFrame) -> Column:
+    """The ratios by place, 0 where there is none: one array, a constant of the plan."""
+    out = np.zeros(CODES * CODES)
+    for pair, ratio in model.collect():
+        out[(ord(pair[0]) - LOW) * CODES + ord(pair[1]) - LOW] = ratio
+    return F.from_json(F.lit(json.dumps(out.tolist())), "array<double>")
 
 
-def _laid_out(model: DataFrame) -> DataFrame:
-    """The ratios by place, 0 where there is none: one array of 16384 numbers in one row."""
-    places = model.sparkSession.range(0, CODES * CODES, 1, 1)
-    every = places.join(model.select(_place(F.col("pair")).cast("long").alias("id"), "ratio"), "id", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("ratio", F.lit(0.0)).alias("r")))), lambda x: x["r"]).alias("_model"))
+def _total(token: Column, model: Column) -> Column:
+    """The sum of the ratios of a token's transitions, in order."""
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c) - LOW)
+    steps = F.size(codes) - 1
+    ratios = F.zip_with(F.slice(codes, 1, steps), F.slice(codes, 2, steps), lambda a, b: F.get(model, a * CODES + b))
+    return F.aggregate(ratios, F.lit(0.0), lambda acc, r: acc + r)
 
 
 def scan(docs: DataFrame, *keep: str | Column, text: str = "text", least: float = LEAST_RATIO) -> DataFrame:
     """The columns ``keep`` with n_assign, n_access, n_hex, base and all spans as structs in ``found``."""
     model = _laid_out(markov(samples(docs, text)))
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(*keep, whole.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
-    rows = rows.withColumn("_tokens", _spans(F.col("_text"), TOKEN, 3)).join(F.broadcast(model))
-    names = [c for c in rows.columns if c not in ("_text", "_base", "_tokens", "_model")]
+
+    def random(r: Column) -> Column:
+        evidence = F.greatest(least * (F.length(r) - 1), F.lit(LEAST_EVIDENCE))
+        return (_total(r, model) >= evidence) & r.rlike("[A-Za-z]")  # digits alone are numbers
+
+    rows = docs.select(*keep, whole.alias("_text")).withColumn("_runs", F.regexp_extract_all("_text", F.lit(RUN), F.lit(0)))
+    rows = rows.withColumn("_base", base_spans(F.col("_text"), F.col("_runs"))).withColumn("_random", F.transform("_runs", random))
+    names = [c for c in rows.columns if c not in ("_text", "_base", "_runs", "_random")]
 
     def fresh(s: Column) -> Column:
         return ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
 
-    def random(s: Column) -> Column:
-        token = F.substring(F.col("_text"), s["start"] + 1, s["end"] - s["start"])
-        total = F.aggregate(_pairs(token), F.lit(0.0), lambda acc, p: acc + F.get("_model", _place(p)))
-        return total >= F.greatest(least * (s["end"] - s["start"] - 1), F.lit(LEAST_EVIDENCE))
-
-    extra = F.filter("_tokens", lambda s: fresh(s) & random(s))
-    return rows.select(*names, "_text", "_base", F.array_sort(F.concat("_base", F.when(F.size("_tokens") > 0, extra).otherwise(F.col("_tokens")))).alias("_all"))
+    extra = F.filter(_spans(F.col("_text"), RUN, 3, F.col("_random")), fresh)
+    every = F.when(F.exists("_random", lambda ok: ok), F.array_sort(F.concat("_base", extra))).otherwise(F.col("_base"))
+    return rows.select(*names, "_text", "_base", every.alias("_all"))
 
 
 def digest(docs: DataFrame, *keep: str | Column, text: str = "text") -> DataFrame:
